@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import langid
+from . import chat, langid, packing, secrets, urlfilter
 
-MODULES = (langid,)
+MODULES = (langid, chat, packing, secrets, urlfilter)
 
 
 def queries() -> dict[str, Callable]:
