@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,8 +64,6 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         code = encoder(path)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, langid, packing, secrets, urlfilter
+from . import bytebpe, chat, langid, packing, quality, secrets, topk, urlfilter
 
-MODULES = (langid, chat, packing, secrets, urlfilter)
+MODULES = (langid, chat, topk, packing, quality, secrets, urlfilter, bytebpe)
 
 
 def queries() -> dict[str, Callable]:
