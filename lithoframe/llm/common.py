@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -14,18 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's, or where it names none (tests) a temporary one."""
-    found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lithoframe-")
-        spark.conf.set(CHECKPOINT_KEY, found)
-    return found.rstrip("/")
+def recounted(docs: DataFrame) -> DataFrame:
+    """Documents whose texts have changed, with n_chars, where there is one, set anew."""
+    return docs.withColumns({"n_chars": F.length("text").cast("bigint")} if "n_chars" in docs.columns else {})
 
 
-def settle(df: DataFrame, what: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later work starts there, also after an executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def settle(df: DataFrame) -> DataFrame:
+    """df, computed once into the folder that all executors share: later work starts there, also after one is lost.
+
+    The cluster names that folder; a temporary one is set only where it names none, as in tests. Spark removes the
+    files once nothing refers to them (spark.cleaner.referenceTracking.cleanCheckpoints).
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getConf().get(CHECKPOINT_KEY) and not context.getCheckpointDir():
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lithoframe-"))
+    return df.checkpoint()

@@ -183,7 +183,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the packed pieces of all documents."""
-    return pack(settle(pieces(docs), "pieces"))
+    return pack(settle(pieces(docs)))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import recounted, table
 
 #: Base kinds in the order they are listed; fixed values.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -107,10 +107,10 @@ def markov_spans(text: Column, base: Column, model: list[float], min_ratio: floa
 
 
 def scan(docs: DataFrame, model: list[float], **how) -> DataFrame:
-    """docs plus base and spans, both arrays of (start, kind, end) in order; kind is a place in KINDS."""
+    """docs plus __base and __spans, both arrays of (start, kind, end) in order; kind is a place in KINDS."""
     text = F.coalesce("text", F.lit(""))
-    docs = docs.withColumn("base", base_spans(text))
-    return docs.withColumn("spans", F.array_sort(F.concat("base", markov_spans(text, F.col("base"), model, **how))))
+    docs = docs.withColumn("__base", base_spans(text))
+    return docs.withColumn("__spans", F.array_sort(F.concat("__base", markov_spans(text, F.col("__base"), model, **how))))
 
 
 def written(spans: Column) -> Column:
@@ -131,15 +131,14 @@ def redacted(text: Column, spans: Column) -> Column:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document, its secrets replaced."""
     found = scan(docs, fit(labelled_samples(docs)))
-    clean = found.withColumn("text", redacted(F.col("text"), F.col("spans")))
-    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return recounted(found.withColumn("text", redacted(F.col("text"), F.col("__spans"))).select(*docs.columns))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan(docs, fit(labelled_samples(docs)))
-    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
-    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    n = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("bigint")
+    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(written(F.col("__base")), 256).alias("base_sha256"), written(F.col("__spans")).alias("spans"))
 
 
 QUERIES = {"op7_secrets": op7_secrets}

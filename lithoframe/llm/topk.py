@@ -112,7 +112,7 @@ class SlicedBlock:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """quantised vectors and a condition for queries -> query_id, rank, vec_id, score."""
-    rows = settle(vectors, "quantised")
+    rows = settle(vectors)
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("q").alias("q"))
     n, m = rows.count(), asked.count()
     r = max(1, -(-n // BLOCK_ROWS))

@@ -81,7 +81,7 @@ def blocks_for(n: int) -> int:
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """pages(page_id, url), listed(canonical) -> page_id, host, path, rule, verdict, listed."""
-    listed = settle(listed.where(F.col("canonical").isNotNull()).select("canonical").distinct(), "urls")
+    listed = settle(listed.where(F.col("canonical").isNotNull()).select("canonical").distinct())
     n_blocks = blocks_for(listed.count())
     rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), canonical(F.col("url")).alias("canonical"))
     rows = rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("block", F.pmod(F.xxhash64("canonical"), F.lit(n_blocks)))
