@@ -19,13 +19,20 @@ def recounted(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"n_chars": F.length("text").cast("bigint")} if "n_chars" in docs.columns else {})
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the one that the cluster names; a temporary one only where it names none, as in tests."""
+    context = spark.sparkContext
+    if found := context.getConf().get(CHECKPOINT_KEY):
+        return found.rstrip("/")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lithoframe-"))
+    return context.getCheckpointDir()
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """df, computed once into the folder that all executors share: later work starts there, also after one is lost.
+    """df, computed once into the shared folder: later work starts there, also after an executor is lost.
 
-    The cluster names that folder; a temporary one is set only where it names none, as in tests. Spark removes the
-    files once nothing refers to them (spark.cleaner.referenceTracking.cleanCheckpoints).
+    Spark removes the files once nothing refers to them (spark.cleaner.referenceTracking.cleanCheckpoints).
     """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get(CHECKPOINT_KEY) and not context.getCheckpointDir():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lithoframe-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bytebpe, chat, langid, packing, quality, secrets, topk, urlfilter
+from . import bytebpe, chat, langid, neardup, packing, quality, secrets, substrings, topk, urlfilter
 
-MODULES = (langid, chat, topk, packing, quality, secrets, urlfilter, bytebpe)
+MODULES = (langid, chat, topk, packing, neardup, quality, secrets, urlfilter, substrings, bytebpe)
 
 
 def queries() -> dict[str, Callable]:
