@@ -1,13 +1,674 @@
-"""Queries on the driver's tables, by name, with the SQL that checks them."""
+"""Queries on the driver's tables, by name, with the SQL that checks them where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
+
+from ..functions import hashing as H
+from ..functions import metrics as M
+from ..functions.blake3 import blake3_id
+from ..operators import blocks as B
+from ..operators import history as Y
+from ..operators import leases as L
+from ..operators import log as G
+from ..operators import maintenance as X
+from ..operators import prefix as P
+from ..operators import state_reads as R
+from ..operators import tiers as T
+from ..sources import journals as J
+from ..sources import segments as Z
+from . import inputs as I
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def take(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return take
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def joined(c: str) -> F.Column:
+    return F.array_join(c, ",").alias(c)
+
+
+# Blocks
+
+
+@query("SELECT doc_id, sha256(text) AS block_id FROM documents")
+def block_id_of_documents(spark, d) -> DataFrame:
+    return I.table(spark, d, "documents").select("doc_id", H.block_id(F.col("text")).alias("block_id"))
+
+
+@query("SELECT doc_id AS pos, sha256(text) AS block_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_pos, doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) AS is_first FROM documents")
+def block_dedup_first(spark, d) -> DataFrame:
+    return B.dedup_first(I.payloads(spark, d))
+
+
+@query(f"WITH {I.BLOCKS} SELECT pos, block_id, block_id NOT IN (SELECT block_id FROM stored) AND pos = min(pos) OVER (PARTITION BY block_id) AS appended FROM docs")
+def block_put_many_ids(spark, d) -> DataFrame:
+    ids, fresh = B.put_many(I.payloads(spark, d), I.stored(spark, d))
+    first = ids.groupBy("block_id").agg(F.min("pos").alias("pos")).join(fresh.select("block_id"), "block_id").withColumn("appended", F.lit(True))
+    return ids.join(first, ["pos", "block_id"], "left").select("pos", "block_id", F.coalesce("appended", F.lit(False)).alias("appended"))
+
+
+@query(f"WITH {I.BLOCKS} SELECT block_id, CASE WHEN lang = 'de' THEN n + 1 WHEN lang <> 'es' THEN n END AS payload_len, CASE WHEN lang IN ('de', 'es') THEN 'corrupt' ELSE 'ok' END AS status FROM damaged UNION ALL SELECT 'none', NULL, 'not_found'")
+def block_get_verified(spark, d) -> DataFrame:
+    store = I.damaged_store(spark, d)
+    wanted = store.select("block_id").unionByName(spark.range(1).select(F.lit("none").alias("block_id")))
+    return B.get_verified(wanted, store)
+
+
+@query(f"WITH {I.BLOCKS} SELECT pos, block_id FROM docs WHERE block_id IN (SELECT block_id FROM stored)")
+def block_contains(spark, d) -> DataFrame:
+    return B.contains(B.identified(I.payloads(spark, d)).select("pos", "block_id"), I.stored(spark, d))
+
+
+@query(f"WITH {I.BLOCKS} SELECT pos, block_id FROM docs WHERE block_id NOT IN (SELECT block_id FROM stored)")
+def block_missing(spark, d) -> DataFrame:
+    return B.missing(B.identified(I.payloads(spark, d)).select("pos", "block_id"), I.stored(spark, d))
+
+
+@query(f"""WITH {I.LOG}, e AS (SELECT log_index, unnest(blocks) AS block_id, generate_subscripts(blocks, 1) AS i FROM binds),
+g AS (SELECT log_index, arg_min(block_id, i) AS m FROM e WHERE block_id NOT IN (SELECT block_id FROM refs WHERE refs > 2) GROUP BY 1)
+SELECT b.log_index AS bind_id, m IS NULL AS accepted, m AS first_missing FROM binds b LEFT JOIN g USING (log_index)""")
+def bind_validation(spark, d) -> DataFrame:
+    log = I.log(spark, d)
+    store = R.shared_blocks(G.block_refs(G.bindings(log)), 3)
+    return B.bind_check(log.where("kind = 'bind'").select(F.col("log_index").alias("bind_id"), "blocks"), store)
+
+
+@query("SELECT doc_id, CAST(ceil((octet_length(encode(text)) + 64) / 4096.0) * 4096 AS BIGINT) AS record_len FROM documents")
+def block_record_len(spark, d) -> DataFrame:
+    return I.table(spark, d, "documents").select("doc_id", H.record_length(F.octet_length("text")).alias("record_len"))
+
+
+@query(f"WITH {I.INDEX} SELECT count(*) AS blocks, count(DISTINCT segment) AS segments, CAST(sum(record_len) AS BIGINT) AS bytes FROM sized")
+def block_store_stats(spark, d) -> DataFrame:
+    return B.store_stats(I.index(spark, d))
+
+
+@query(f"""WITH {I.BLOCKS} SELECT count(*) FILTER (lang NOT IN ('de', 'es')) AS intact, count(*) FILTER (lang = 'de') AS corrupt, count(*) FILTER (lang = 'es') AS unreadable,
+CAST(sum(n) FILTER (lang NOT IN ('de', 'es')) AS BIGINT) AS intact_bytes FROM damaged""")
+def fsck_report(spark, d) -> DataFrame:
+    return B.verify_all(I.damaged_store(spark, d))
+
+
+@query(f"WITH {I.BLOCKS} SELECT block_id, CASE lang WHEN 'de' THEN 'corrupt' ELSE 'unreadable' END AS state FROM damaged WHERE lang IN ('de', 'es')")
+def fsck_damaged(spark, d) -> DataFrame:
+    return B.damaged(I.damaged_store(spark, d))
+
+
+@query(f"""WITH {I.INDEX}, m AS (SELECT s.*, block_id IN (SELECT block_id FROM stored) AS live FROM sized s)
+SELECT segment, count(*) FILTER (NOT live) AS blocks_dropped, count(*) FILTER (live) AS blocks_kept, CAST(coalesce(sum(record_len) FILTER (NOT live), 0) AS BIGINT) AS bytes_reclaimed
+FROM m WHERE segment < (SELECT max(segment) FROM m) GROUP BY segment HAVING count(*) FILTER (NOT live) > 0""")
+def compact_stats(spark, d) -> DataFrame:
+    return B.compact_stats(I.index(spark, d), I.stored(spark, d))
+
+
+@query(f"""WITH {I.INDEX}, m AS (SELECT s.*, block_id IN (SELECT block_id FROM stored) AS live FROM sized s),
+w AS (SELECT segment FROM m WHERE segment < (SELECT max(segment) FROM m) GROUP BY segment HAVING count(*) FILTER (NOT live) > 0),
+k AS (SELECT m.*, w.segment IS NOT NULL AS rewritten FROM m LEFT JOIN w USING (segment) WHERE live OR w.segment IS NULL)
+SELECT block_id, segment, CAST(CASE WHEN rewritten THEN coalesce(sum(record_len) OVER (PARTITION BY segment ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE place END AS BIGINT) AS "offset", payload_len FROM k""")
+def compacted_index(spark, d) -> DataFrame:
+    return B.compacted(I.index(spark, d), I.stored(spark, d))
+
+
+@query("""WITH s AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents),
+p AS (SELECT doc_id, n, unnest(range(0, greatest(CAST(ceil(n / 1000.0) AS BIGINT), 1))) AS piece_no FROM s)
+SELECT doc_id AS block_id, piece_no, greatest(0, least(1000, n - piece_no * 1000)) AS n, (piece_no + 1) * 1000 >= n AS last FROM p""")
+def block_to_chunks(spark, d) -> DataFrame:
+    pieces = B.to_pieces(I.payloads(spark, d).select(F.col("pos").alias("block_id"), "payload"), 1000)
+    return pieces.select("block_id", "piece_no", F.length("data").cast("bigint").alias("n"), "last")
+
+
+@query("SELECT doc_id AS stream_id, 0 AS block_no, sha256(text) AS block_id FROM documents")
+def stream_chunks_to_blocks(spark, d) -> DataFrame:
+    pieces = B.to_pieces(I.payloads(spark, d).select(F.col("pos").alias("block_id"), "payload"), 1000).select(F.col("block_id").alias("stream_id"), F.col("piece_no").alias("seq"), "data", "last")
+    return B.from_pieces(pieces).select("stream_id", "block_no", H.block_id(F.col("payload")).alias("block_id"))
+
+
+@query(f"""WITH {I.BLOCKS}, r AS (SELECT block_id, source, lang FROM docs)
+SELECT d.block_id, (SELECT min(source) FROM docs x WHERE x.block_id = d.block_id AND lang NOT IN ('de', 'es')) AS node FROM damaged d""")
+def peer_fetch(spark, d) -> DataFrame:
+    p = I.payloads(spark, d).withColumn("block_id", H.block_id(F.col("payload")))
+    replicas = p.select("block_id", F.lit(1).alias("priority"), F.col("source").alias("node"), F.when(F.col("lang") == "de", F.concat("payload", F.encode(F.lit("x"), "UTF-8"))).when(F.col("lang") != "es", F.col("payload")).alias("payload"))
+    return B.fetch(p.select("block_id").distinct(), replicas).select("block_id", "node")
+
+
+# Functions
+
+
+@query("SELECT event_id, printf('%02x%02x%02x%02x', event_id & 255, (event_id >> 8) & 255, (event_id >> 16) & 255, (event_id >> 24) & 255) AS low, sha256('agent ' || user_id) AS agent FROM events")
+def u32le_encode(spark, d) -> DataFrame:
+    return I.table(spark, d, "events").select("event_id", F.lower(F.hex(H.le32(F.col("event_id")))).alias("low"), F.sha2(F.concat(F.lit("agent "), F.col("user_id").cast("string")), 256).alias("agent"))
+
+
+@query(f"WITH {I.CHAINS} SELECT user_id, depth AS chunk_no, tokens FROM chunked")
+def chunk_tokens(spark, d) -> DataFrame:
+    chunks = I.streams(spark, d).select("user_id", F.posexplode(H.chunk_tokens(F.col("tokens"), I.CHUNK)).alias("chunk_no", "tokens"))
+    return chunks.select("user_id", "chunk_no", F.array_join(F.transform("tokens", lambda t: t.cast("string")), " ").alias("tokens"))
+
+
+@query(f"WITH {I.CHAINS} SELECT lookup_id, depth, key FROM chains")
+def chain_keys(spark, d) -> DataFrame:
+    return I.chains(spark, d).select("lookup_id", "depth", "key")
+
+
+@query(f"WITH {I.CHAINS} SELECT depth, count(DISTINCT key) AS n_keys, count(*) AS n_streams FROM chains GROUP BY depth")
+def chain_split_converge(spark, d) -> DataFrame:
+    return I.chains(spark, d).groupBy("depth").agg(F.countDistinct("key").alias("n_keys"), F.count("*").alias("n_streams"))
+
+
+@query("""WITH k AS (SELECT event_id, user_id, sha256(unhex(printf('%02x%02x0000', event_id & 255, (event_id >> 8) & 255))) AS root FROM events)
+SELECT event_id, root AS root_hash, sha256(unhex(root || '07000000')) AS child_hash FROM k""")
+def make_key(spark, d) -> DataFrame:
+    model = F.struct(F.lit("m").alias("model_id"), F.lit("t").alias("tokenizer_hash"), F.lit("l").alias("kv_layout"))
+    none = F.lit(None).cast("struct<fingerprint:struct<model_id:string,tokenizer_hash:string,kv_layout:string>,prefix_hash:string>")
+    keys = I.table(spark, d, "events").select("event_id", H.make_key(model, none, F.array(F.col("event_id") % 65536)).alias("root"))
+    return keys.select("event_id", F.col("root.prefix_hash").alias("root_hash"), H.make_key(model, F.col("root"), F.array(F.lit(7)))["prefix_hash"].alias("child_hash"))
+
+
+@query("SELECT user_id, sha256(encode('KLPK/reg/v1') || unhex('00') || unhex(sha256(CAST(user_id AS VARCHAR))) || encode('user ' || user_id)) AS digest FROM (SELECT DISTINCT user_id FROM events)")
+def register_message(spark, d) -> DataFrame:
+    u = F.col("user_id").cast("string")
+    message = H.register_message(F.sha2(u, 256), F.concat(F.lit("user "), u))
+    return I.table(spark, d, "events").select("user_id").distinct().select("user_id", F.sha2(message, 256).alias("digest"))
+
+
+@query("""WITH b AS (SELECT doc_id, sha256(text) AS h FROM documents)
+SELECT doc_id, sha256(encode('KLPK/bind/v1') || unhex('00') || unhex(h) || encode('m') || unhex('00') || encode('t') || unhex('00') || encode('l') || unhex('00') || unhex(h) || unhex('02000000') || unhex(h) || unhex(h) || unhex('00')) AS digest FROM b""")
+def bind_message(spark, d) -> DataFrame:
+    h = F.sha2("text", 256)
+    key = H.cache_key(F.struct(F.lit("m").alias("model_id"), F.lit("t").alias("tokenizer_hash"), F.lit("l").alias("kv_layout")), h)
+    none = F.lit(None).cast("struct<prefix_hash:string>")
+    return I.table(spark, d, "documents").select("doc_id", F.sha2(H.bind_message(h, key, F.array(h, h), none), 256).alias("digest"))
+
+
+@query("""WITH b AS (SELECT doc_id, sha256(text) AS h, doc_id % 256 AS g FROM documents)
+SELECT doc_id, sha256(encode('KLPK/lease/renew/v1') || unhex('00') || unhex(h) || unhex(h) || unhex(printf('%02x', g) || '00000000000000') || unhex('3c00000000000000')) AS digest FROM b""")
+def lease_renew_message(spark, d) -> DataFrame:
+    h = F.sha2("text", 256)
+    return I.table(spark, d, "documents").select("doc_id", F.sha2(H.lease_renew_message(h, h, F.col("doc_id") % 256, F.lit(60)), 256).alias("digest"))
+
+
+@query("SELECT event_id, CASE WHEN value IS NULL THEN 1 WHEN CAST(floor(value) AS INTEGER) BETWEEN 1 AND 16 THEN CAST(floor(value) AS INTEGER) END AS replicas, 'x' || CAST(floor(value) AS INTEGER) AS raw FROM events")
+def replicas_parsed(spark, d) -> DataFrame:
+    whole = F.floor("value").cast("int").cast("string")
+    return I.table(spark, d, "events").select("event_id", H.parse_replicas(whole).alias("replicas"), F.concat(F.lit("x"), whole).alias("raw"))
+
+
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) >= 1024 THEN printf('%.1f KiB', octet_length(encode(text)) / 1024.0) ELSE octet_length(encode(text)) || ' B' END AS size, sha256(text)[1:8] AS short FROM documents")
+def short_forms(spark, d) -> DataFrame:
+    return I.table(spark, d, "documents").select("doc_id", H.format_bytes(F.octet_length("text")).alias("size"), H.short_id(F.sha2("text", 256)).alias("short"))
+
+
+@query()
+def blake3_ids(spark, d) -> DataFrame:
+    return I.table(spark, d, "documents").select("doc_id", blake3_id(F.encode("text", "UTF-8")).alias("block_id"))
+
+
+# Prefix lookups
+
+
+@query(f"WITH {I.CHAINS} SELECT lookup_id, hit_depth FROM hits")
+def longest_prefix_lookup(spark, d) -> DataFrame:
+    return P.longest_prefix(I.chains(spark, d).drop("first"), I.chain_bindings(spark, d))
+
+
+@query(f"WITH {I.CHAINS} SELECT lookup_id, hit_depth, key, array_to_string(blocks, ',') AS blocks FROM found")
+def lookup_blocks(spark, d) -> DataFrame:
+    found = P.lookup_blocks(I.chains(spark, d).drop("first"), I.chain_bindings(spark, d))
+    return found.select("lookup_id", "hit_depth", "key", joined("blocks"))
+
+
+CHILDREN = """, ranked AS (SELECT parent_key, child_key, row_number() OVER (PARTITION BY parent_key ORDER BY first_log_index, child_key) - 1 AS edge_no FROM edges),
+kids AS (SELECT r.parent_key AS key, edge_no, generate_subscripts(b.blocks, 1) - 1 AS pos, unnest(b.blocks) AS block_id FROM ranked r JOIN bindings b ON b.key = r.child_key)"""
+
+
+@query(f"WITH {I.LOG}{CHILDREN} SELECT key, edge_no, pos, block_id FROM kids")
+def child_blocks(spark, d) -> DataFrame:
+    log = I.log(spark, d)
+    return P.child_blocks(G.edges(log), G.bindings(log))
+
+
+@query(f"""WITH {I.LOG}{CHILDREN} SELECT key AS lookup_id, 0 AS source, 0 AS edge_no, generate_subscripts(blocks, 1) - 1 AS pos, unnest(blocks) AS block_id FROM bindings
+UNION ALL SELECT b.key, 1, k.edge_no, k.pos, k.block_id FROM bindings b JOIN kids k ON k.key = b.key""")
+def prefetch_set(spark, d) -> DataFrame:
+    log = I.log(spark, d)
+    bound = G.bindings(log)
+    lookups = P.lookup_blocks(bound.select(F.col("key").alias("lookup_id"), F.lit(0).alias("depth"), "key"), bound)
+    return P.prefetch_set(lookups, G.edges(log), bound)
+
+
+@query(f"WITH {I.LOG} SELECT child_key, parent_key FROM parents")
+def parent_index(spark, d) -> DataFrame:
+    return P.parent_index(G.edges(I.log(spark, d)))
+
+
+@query(f"WITH RECURSIVE {I.LOG}, walk AS (SELECT key AS leaf, 0 AS step, key FROM bindings UNION ALL SELECT leaf, step + 1, parent_key FROM walk JOIN parents ON key = child_key) SELECT leaf, step, key FROM walk")
+def key_lineage(spark, d) -> DataFrame:
+    log = I.log(spark, d)
+    return P.lineage(G.edges(log), G.bindings(log).select("key"))
+
+
+# State
+
+
+@query(f"WITH {I.LOG} SELECT agent, display_name, registered_at FROM agents")
+def agents_state(spark, d) -> DataFrame:
+    return G.agents(I.log(spark, d))
+
+
+@query(f"WITH {I.LOG} SELECT key, agent, array_to_string(blocks, ',') AS blocks, log_index FROM bindings")
+def bindings_state(spark, d) -> DataFrame:
+    return G.bindings(I.log(spark, d)).select("key", "agent", joined("blocks"), "log_index")
+
+
+@query(f"""WITH {I.LOG} SELECT key, agent, array_to_string(blocks, ',') AS blocks, log_index FROM bindings""")
+def bind_chain_state(spark, d) -> DataFrame:
+    """The same binds as chain entries of one link each."""
+    log = I.log(spark, d)
+    chain = log.where("kind = 'bind'").select("log_index", "sub", F.lit("bind_chain").alias("kind"), "agent", F.lit(None).cast("string").alias("key"), F.lit(None).cast("array<string>").alias("blocks"), F.lit(None).cast("string").alias("parent"), F.array(F.struct("key", "blocks", "parent")).alias("links"))
+    return G.bindings(G.expanded(chain)).select("key", "agent", joined("blocks"), "log_index")
+
+
+@query(f"WITH {I.LOG} SELECT parent_key, child_key, first_log_index, last_log_index FROM edges")
+def edges_state(spark, d) -> DataFrame:
+    return G.edges(I.log(spark, d)).select("parent_key", "child_key", "first_log_index", "last_log_index")
+
+
+@query(f"WITH {I.LOG} SELECT key, revision FROM revisions")
+def revisions_state(spark, d) -> DataFrame:
+    return G.revisions(I.log(spark, d), I.ACTIVATED_AT)
+
+
+@query(f"WITH {I.LOG} SELECT block_id, log_index FROM fences")
+def fences_state(spark, d) -> DataFrame:
+    return G.block_fences(I.log(spark, d))
+
+
+@query(f"WITH {I.LOG} SELECT block_id, replicas FROM needs")
+def replica_requirements(spark, d) -> DataFrame:
+    return G.replica_requirements(I.log(spark, d))
+
+
+@query(f"WITH {I.LOG} SELECT block_id, refs FROM refs")
+def block_refs(spark, d) -> DataFrame:
+    return G.block_refs(G.bindings(I.log(spark, d)))
+
+
+@query(f"WITH {I.LOG} SELECT block_id, refs FROM refs WHERE refs >= 6")
+def shared_blocks(spark, d) -> DataFrame:
+    return R.shared_blocks(G.block_refs(G.bindings(I.log(spark, d))), 6)
+
+
+@query(f"WITH {I.LOG} SELECT DISTINCT block_id FROM refs")
+def bound_blocks(spark, d) -> DataFrame:
+    return R.bound_blocks(G.bindings(I.log(spark, d)))
+
+
+@query(f"WITH {I.LOG} SELECT block_id FROM refs WHERE refs >= 4 AND block_id IN (SELECT unnest(blocks) FROM bindings)")
+def pin_shared(spark, d) -> DataFrame:
+    bound = G.bindings(I.log(spark, d))
+    return R.pin_wanted(bound, G.block_refs(bound), 4)
+
+
+@query(f"WITH {I.LOG} SELECT agent, count(*) AS bindings, max(log_index) AS last_bound FROM bindings GROUP BY agent")
+def bindings_of_agent(spark, d) -> DataFrame:
+    bound = G.bindings(I.log(spark, d))
+    return R.bindings_of(bound, F.col("agent")).groupBy("agent").agg(F.count("*").alias("bindings"), F.max("log_index").alias("last_bound"))
+
+
+@query(f"WITH {I.LOG} SELECT b.key, b.agent, array_to_string(b.blocks, ',') AS blocks, coalesce(revision, 0) AS revision, parent_key AS extends FROM bindings b LEFT JOIN revisions r USING (key) LEFT JOIN parents p ON p.child_key = b.key")
+def agent_bindings_lineage(spark, d) -> DataFrame:
+    log = I.log(spark, d)
+    found = R.with_lineage(G.bindings(log), G.revisions(log, I.ACTIVATED_AT), G.edges(log))
+    return found.select("key", "agent", joined("blocks"), "revision", "extends")
+
+
+@query(f"WITH {I.LOG} SELECT agent, display_name, registered_at, coalesce(n, 0) AS bindings FROM agents LEFT JOIN (SELECT agent, count(*) AS n FROM bindings GROUP BY agent) USING (agent) ORDER BY registered_at")
+def agents_list(spark, d) -> DataFrame:
+    log = I.log(spark, d)
+    return R.agents_list(R.agents_with_counts(G.agents(log), G.bindings(log)))
+
+
+@query(f"WITH {I.LOG}, {I.INDEX} SELECT (SELECT count(*) FROM sized) AS blocks, (SELECT count(DISTINCT segment) FROM sized) AS segments, (SELECT CAST(sum(record_len) AS BIGINT) FROM sized) AS bytes, (SELECT count(*) FROM agents) AS agents, (SELECT count(*) FROM bindings) AS bindings")
+def stats_payload(spark, d) -> DataFrame:
+    log = I.log(spark, d)
+    parts = {"data": B.store_stats(I.index(spark, d)), "agents": G.agents(log).agg(F.count("*").alias("agents")), "bindings": G.bindings(log).agg(F.count("*").alias("bindings"))}
+    return R.stats_payload(parts).select("data.*", "agents.agents", "bindings.bindings")
+
+
+@query(f"WITH {I.LEASES} SELECT count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'committed') AS committed, count(*) FILTER (status = 'cancelled') AS cancelled, count(*) FILTER (status = 'expired') AS expired, count(expired_at) AS expiry_markers, 20 AS current_tick FROM leases")
+def lease_counts(spark, d) -> DataFrame:
+    return R.lease_counts(I.leases(spark, d), F.lit(I.CLOCK))
+
+
+@query(f"WITH {I.LEASES} SELECT lease, 1 AS generation, deadline_tick FROM leases WHERE status = 'expired' AND expired_at IS NULL ORDER BY lease LIMIT 16")
+def lease_expiry_work(spark, d) -> DataFrame:
+    """The next batch of expiries, whose size of 16 is the operator's."""
+    return R.expiry_work(I.leases(spark, d), F.lit(I.CLOCK))
+
+
+EVIDENCE = f"""{I.LOG}, {I.LEASES},
+held AS (SELECT block_id, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'committed') AS committed, count(*) FILTER (status = 'cancelled') AS cancelled, count(*) FILTER (status = 'expired') AS expired
+    FROM (SELECT unnest(list_distinct(blocks)) AS block_id, status FROM leases) GROUP BY block_id),
+evidence AS (SELECT block_id, coalesce(refs, 0) AS binding_references, coalesce(replicas, 0) AS required_replicas, f.log_index AS block_reference_fence, coalesce(pending, 0) AS pending, coalesce(committed, 0) AS committed, coalesce(cancelled, 0) AS cancelled, coalesce(expired, 0) AS expired
+    FROM (SELECT CAST(unnest(range(0, 60)) AS VARCHAR) AS block_id) LEFT JOIN refs USING (block_id) LEFT JOIN needs USING (block_id) LEFT JOIN fences f USING (block_id) LEFT JOIN held USING (block_id))"""
+
+
+def _evidence(spark, d) -> DataFrame:
+    log = I.log(spark, d)
+    s = G.materialize(log, I.ACTIVATED_AT)
+    wanted = spark.range(60).select(F.col("id").cast("string").alias("block_id"))
+    return R.reclamation_evidence(wanted, s.refs, s.requirements, s.fences, R.lease_status(I.leases(spark, d), F.lit(I.CLOCK)))
+
+
+@query(f"WITH {EVIDENCE} SELECT * FROM evidence")
+def reclamation_evidence(spark, d) -> DataFrame:
+    return _evidence(spark, d)
+
+
+@query(f"""WITH {EVIDENCE}, o AS (SELECT *, CAST(block_id AS INTEGER) AS n, CASE WHEN CAST(block_id AS INTEGER) % 4 = 0 THEN block_reference_fence ELSE 7 END AS want FROM evidence)
+SELECT block_id, coalesce(block_reference_fence = want, FALSE) AS observed_fences_match, FALSE AS reclaimable,
+array_to_string(list_filter([CASE WHEN NOT coalesce(block_reference_fence = want, FALSE) THEN 'reference_fence_unknown_or_changed' END,
+    CASE WHEN n % 3 = 0 THEN 'active_local_writes_present_or_unknown' END,
+    CASE WHEN binding_references <> 0 THEN 'binding_references_present_or_unknown' END, CASE WHEN pending <> 0 THEN 'pending_leases_present_or_unknown' END,
+    CASE WHEN required_replicas <> 0 THEN 'replica_requirement_present_or_unknown' END, 'in_flight_writes_not_coordinated', 'legacy_provenance_not_verified', 'cluster_gc_watermark_missing',
+    'linearizable_release_validation_missing', 'restore_rollback_not_fenced', 'physical_gc_disabled'], lambda x: x IS NOT NULL), ',') AS blockers FROM o""")
+def reclamation_blockers(spark, d) -> DataFrame:
+    n = F.col("block_id").cast("int")
+    observed = _evidence(spark, d).withColumns(
+        {
+            "storage_generation": F.lit("s"),
+            "want_storage_generation": F.lit("s"),
+            "local_generation": F.lit(1),
+            "want_local_generation": F.lit(1),
+            "want_block_reference_fence": F.when(n % 4 == 0, F.col("block_reference_fence")).otherwise(7),
+            "guarded": F.lit(True),
+            "write_failed": F.lit(False),
+            "active_local_writes": F.when(n % 3 == 0, F.lit(None).cast("int")).otherwise(0),
+            "local_release_check": F.lit(False),
+        }
+    )
+    return R.reclamation_blockers(observed).select("block_id", "observed_fences_match", "reclaimable", joined("blockers"))
+
+
+@query(f"""WITH {I.LOG}, l AS (SELECT block_id, refs AS replicas FROM refs WHERE refs > 1 AND block_id > '2' ORDER BY block_id LIMIT 16), r AS (SELECT * FROM needs WHERE block_id > '2' ORDER BY block_id LIMIT 16)
+SELECT block_id, max(replicas) AS replicas FROM (SELECT * FROM l UNION ALL SELECT * FROM r) GROUP BY block_id ORDER BY block_id LIMIT 16""")
+def repair_candidates(spark, d) -> DataFrame:
+    """The next batch after a cursor, whose size of 16 is the operator's."""
+    log = I.log(spark, d)
+    local = G.block_refs(G.bindings(log)).select("block_id", F.col("refs").alias("replicas"))
+    return R.repair_candidates(local, G.replica_requirements(log).select("block_id", F.col("replicas").cast("bigint").alias("replicas")), "2")
+
+
+def _known(spark, d) -> DataFrame:
+    log = I.log(spark, d)
+    return G.block_fences(log).select("block_id", (F.col("log_index") % 5).alias("node"))
+
+
+@query(f"WITH {I.LOG}, known AS (SELECT block_id, log_index % 5 AS node FROM fences) SELECT block_id, n.node, row_number() OVER (PARTITION BY block_id ORDER BY known.node <> n.node, n.node) AS rank FROM known, (SELECT unnest(range(0, 7)) AS node) n")
+def replica_source_rank(spark, d) -> DataFrame:
+    return R.replica_source_rank(_known(spark, d), list(range(7)))
+
+
+@query(f"WITH {I.LOG}, known AS (SELECT block_id, log_index % 5 AS node FROM fences), r AS (SELECT block_id, n.node, row_number() OVER (PARTITION BY block_id ORDER BY known.node <> n.node, n.node) AS rank FROM known, (SELECT unnest(range(0, 7)) AS node) n) SELECT block_id, node, rank FROM r JOIN needs USING (block_id) WHERE rank <= replicas")
+def repair_plan(spark, d) -> DataFrame:
+    log = I.log(spark, d)
+    return X.repair_plan(G.replica_requirements(log), R.replica_source_rank(_known(spark, d), list(range(7))))
+
+
+@query("""WITH a AS (SELECT user_id AS request_id, event_id % 4 AS addr, event_id % 9 <> 0 AS present, value > 5 OR event_id % 6 > 0 AS ok, event_id % 4 AS g FROM events),
+p AS (SELECT request_id, addr, bool_and(present AND ok) AND count(DISTINCT g) = 1 AS good FROM a GROUP BY ALL)
+SELECT request_id, count(*) FILTER (good) + 1 AS copies, count(*) FILTER (good) + 1 >= 2 AS satisfied FROM p GROUP BY request_id""")
+def replica_acks(spark, d) -> DataFrame:
+    e = F.col("event_id")
+    acks = I.table(spark, d, "events").select(F.col("user_id").alias("request_id"), e.alias("block_id"), (e % 4).alias("addr"), (e % 9 != 0).alias("present"), ((F.col("value") > 5) | (e % 6 > 0)).alias("cold_verified"), F.lit(True).alias("retained"), F.sha2((e % 4).cast("string"), 256).alias("storage_generation"))
+    return R.acknowledged(acks, 2)
+
+
+@query("""WITH m AS (SELECT user_id AS node, max(CASE WHEN event_type <> 'error' THEN event_id END) AS seen FROM events GROUP BY user_id)
+SELECT node, (SELECT max(event_id) FROM events) - seen AS lag, CASE WHEN seen IS NULL THEN 'unknown' WHEN (SELECT max(event_id) FROM events) - seen <= 1 THEN 'in_sync' WHEN (SELECT max(event_id) FROM events) - seen <= 50 THEN 'lagging' ELSE 'behind' END AS state FROM m""")
+def replication_lag(spark, d) -> DataFrame:
+    events = I.table(spark, d, "events")
+    matched = events.groupBy(F.col("user_id").alias("node")).agg(F.max(F.when(F.col("event_type") != "error", F.col("event_id"))).alias("matched_index"))
+    last = events.agg(F.max("event_id").alias("last"))
+    return R.replication_lag(matched.join(F.broadcast(last)), F.col("last"))
+
+
+@query(f"""WITH o AS (SELECT event_id AS i, CAST(event_id % 53 AS VARCHAR) AS block_id, user_id AS node, CASE WHEN event_type <> 'error' THEN 'g' || (event_id // 5000) END AS generation FROM events),
+cur AS (SELECT node, arg_max(generation, i) AS current FROM o WHERE generation IS NOT NULL GROUP BY node),
+last AS (SELECT block_id, node, max(i) AS i FROM o GROUP BY ALL), seen AS (SELECT o.block_id, o.node, o.generation FROM o JOIN last USING (block_id, node, i))
+SELECT block_id, node, generation FROM (SELECT s.*, row_number() OVER (PARTITION BY block_id ORDER BY node DESC) AS r FROM seen s JOIN cur USING (node) WHERE generation = current) WHERE r <= 16""")
+def location_observation(spark, d) -> DataFrame:
+    e = F.col("event_id")
+    seen = I.table(spark, d, "events").select(e.alias("at"), (e % 53).cast("string").alias("block_id"), F.col("user_id").alias("node"), F.when(F.col("event_type") != "error", F.concat(F.lit("g"), F.floor(e / 5000).cast("string"))).alias("generation"))
+    return R.observe_locations(seen)
+
+
+@query("SELECT user_id AS node FROM (SELECT DISTINCT user_id FROM events) WHERE user_id <> 3")
+def peer_nodes(spark, d) -> DataFrame:
+    return R.peers_of(I.table(spark, d, "events").select(F.col("user_id").alias("node")).distinct(), 3)
+
+
+@query(f"WITH {I.LOG} SELECT block_id, max(sequence) AS local_generation FROM (SELECT unnest(blocks) AS block_id, log_index + 1 AS sequence FROM log) GROUP BY block_id")
+def retention_guards(spark, d) -> DataFrame:
+    entries = I.log(spark, d).select((F.col("log_index") + 1).alias("sequence"), F.explode("blocks").alias("block_id"))
+    return J.guards(entries)
+
+
+@query("SELECT doc_id, CASE WHEN ceil((n_chars * 50000 + 67108864) / 1048576.0) <= 512 THEN CAST(greatest(ceil((n_chars * 50000 + 67108864) / 1048576.0), 128) AS BIGINT) END AS units FROM documents")
+def upload_budget(spark, d) -> DataFrame:
+    return I.table(spark, d, "documents").select("doc_id", X.upload_units(F.col("n_chars") * 50000).alias("units"))
+
+
+# Histories and plans
+
+
+@query(f"WITH {I.HISTORY} SELECT session, depth, key, parent, block_id, len(blocks) AS n_blocks FROM chain")
+def history_chain(spark, d) -> DataFrame:
+    return Y.history_chain(I.turns(spark, d)).select("session", "depth", "key", "parent", "block_id", F.size("blocks").alias("n_blocks"))
+
+
+@query(f"WITH {I.HISTORY} SELECT session, arg_max(key, depth) AS tip, max(depth) AS turns, array_to_string(arg_max(blocks, depth), ',') AS blocks FROM chain GROUP BY session")
+def history_replay(spark, d) -> DataFrame:
+    return Y.replay(Y.history_chain(I.turns(spark, d))).select("session", "tip", "turns", joined("blocks"))
+
+
+@query(f"WITH {I.HISTORY} SELECT session, depth - 1 AS position, role, content FROM turns")
+def history_messages(spark, d) -> DataFrame:
+    turns = I.turns(spark, d)
+    return Y.messages(Y.replay(Y.history_chain(turns)), Y.turn_blocks(turns))
+
+
+@query(f"WITH {I.HISTORY} SELECT session, sha256(session || '#cleared') AS root FROM (SELECT DISTINCT session FROM turns)")
+def history_cleared(spark, d) -> DataFrame:
+    return Y.history_chain(I.turns(spark, d), cleared=1).where("depth = 0").select("session", F.col("key").alias("root"))
+
+
+@query(f"WITH {I.HISTORY} SELECT block_id, count(*) AS turns, count(DISTINCT session) AS sessions FROM turns GROUP BY block_id")
+def turn_dedup(spark, d) -> DataFrame:
+    return Y.turn_dedup(I.turns(spark, d))
+
+
+@query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'ai' WHEN 'system' THEN 'system' ELSE 'human' END AS outward, role AS inward FROM conversations")
+def role_mapping(spark, d) -> DataFrame:
+    out = Y.role_out(F.col("role"))
+    return I.table(spark, d, "conversations").select("conv_id", "turn", out.alias("outward"), Y.role_in(out).alias("inward"))
+
+
+@query(f"WITH {I.CHAINS}, q AS (SELECT lookup_id, max(depth) AS computed FROM chains GROUP BY lookup_id) SELECT lookup_id, hit_depth, greatest((coalesce(hit_depth, -1) + 1) * 2 - computed, 0) AS matched FROM q JOIN hits USING (lookup_id)")
+def matched_tokens(spark, d) -> DataFrame:
+    chains = I.chains(spark, d).drop("first")
+    return Y.matched_tokens(chains.groupBy("lookup_id").agg(F.max("depth").alias("computed")), chains, I.chain_bindings(spark, d), I.CHUNK)
+
+
+@query(f"WITH {I.CHAINS} SELECT lookup_id, depth, key, lag(key) OVER (PARTITION BY lookup_id ORDER BY depth) AS parent FROM chains WHERE depth < 5")
+def save_plan(spark, d) -> DataFrame:
+    return Y.save_plan(I.chains(spark, d).drop("first"), 5)
+
+
+@query(f"WITH {I.CHAINS} SELECT lookup_id, depth, key, array_to_string(list_transform(range(0, depth + 1), lambda i: CAST(i AS VARCHAR)), ',') AS blocks FROM chains WHERE depth < 5")
+def cumulative_bind(spark, d) -> DataFrame:
+    saved = Y.save_plan(I.chains(spark, d).drop("first"), 5).withColumn("block_id", F.col("depth").cast("string"))
+    return Y.cumulative_bind(saved).select("lookup_id", "depth", "key", joined("blocks"))
+
+
+@query(f"WITH {I.CHAINS}, g AS (SELECT user_id, i // 4 AS page_group, string_agg(CAST(i AS VARCHAR), ' ' ORDER BY i) AS pages FROM ev GROUP BY ALL HAVING count(*) = 4) SELECT * FROM g")
+def page_mapping(spark, d) -> DataFrame:
+    pages = I.streams(spark, d).select("user_id", F.transform("tokens", lambda _, i: i).alias("pages"))
+    groups = pages.select("user_id", F.posexplode(Y.page_groups(F.col("pages"), 64, 256)).alias("page_group", "pages"))
+    return groups.select("user_id", "page_group", F.array_join(F.transform("pages", lambda p: p.cast("string")), " ").alias("pages"))
+
+
+# Samples
+
+
+@query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY event_type")
+def latency_linear(spark, d) -> DataFrame:
+    return I.table(spark, d, "events").groupBy("event_type").agg(*[M.percentile_linear(F.col("value"), p / 100).alias(f"p{p}") for p in (50, 95, 99)])
+
+
+RANKED = "WITH r AS (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)"
+
+
+@query(RANKED + " SELECT event_type, v[CAST(floor((len(v) - 1) * 0.5 + 0.5) AS INTEGER) + 1] AS p50, v[CAST(floor((len(v) - 1) * 0.99 + 0.5) AS INTEGER) + 1] AS p99 FROM r")
+def latency_rounded(spark, d) -> DataFrame:
+    return I.table(spark, d, "events").groupBy("event_type").agg(M.percentile_rounded(F.col("value"), 0.5).alias("p50"), M.percentile_rounded(F.col("value"), 0.99).alias("p99"))
+
+
+@query(RANKED + " SELECT event_type, v[CASE WHEN floor(len(v) * 0.99) = 0 THEN len(v) ELSE CAST(floor(len(v) * 0.99) AS INTEGER) END] AS p99 FROM r")
+def latency_truncated(spark, d) -> DataFrame:
+    return I.table(spark, d, "events").groupBy("event_type").agg(M.percentile_truncated(F.col("value"), 0.99).alias("p99"))
+
+
+@query("SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 3) AS p50, round(quantile_cont(value, 0.95), 3) AS p95, round(quantile_cont(value, 0.99), 3) AS p99, round(avg(value), 3) AS mean, round(max(value), 3) AS max FROM events GROUP BY event_type")
+def latency_summary(spark, d) -> DataFrame:
+    return M.summarize(I.table(spark, d, "events"), "value", ["event_type"])
+
+
+@query(f"""WITH {I.LOG}, {I.INDEX}, s AS (SELECT unnest([(0, 'blocks', 'Stored blocks', (SELECT count(*) FROM sized)), (1, 'segments', 'Segment files', (SELECT count(DISTINCT segment) FROM sized)),
+    (16, 'agents', 'Registered agents', (SELECT count(*) FROM agents)), (17, 'bindings', 'Bound keys', (SELECT count(*) FROM bindings))]) AS m)
+SELECT m[1] * 3 + i AS position, CASE i WHEN 0 THEN '# HELP engine_' || m[2] || ' ' || m[3] WHEN 1 THEN '# TYPE engine_' || m[2] || ' gauge' ELSE 'engine_' || m[2] || ' ' || m[4] END AS line FROM s, (SELECT unnest([0, 1, 2]) AS i)""")
+def prometheus_lines(spark, d) -> DataFrame:
+    return M.metric_lines(stats_payload(spark, d).drop("bytes"))
+
+
+# Folds and binary formats: no SQL form; tests hold them against models and golden vectors
+
+
+def _frames(spark, d) -> DataFrame:
+    """Frames of each source's texts, one in five of them cut short."""
+    @F.pandas_udf(BinaryType())
+    def framed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: J.frame([x.encode() for x in t]))
+
+    f = framed(F.array("lang", "source", "text"))
+    return I.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.when(F.col("lang") == "de", F.substring(f, 1, 11)).otherwise(f).alias("frame"))
+
+
+@query()
+def batch_frame_parse(spark, d) -> DataFrame:
+    return J.batch_frames(_frames(spark, d)).select("name", "pos", F.length("payload").alias("n"), "error")
+
+
+@query()
+def segment_roll(spark, d) -> DataFrame:
+    return Z.roll(I.payloads(spark, d).select(F.col("source").alias("store"), "pos", F.length("payload").cast("bigint").alias("payload_len")), 1 << 16)
+
+
+def _segments(spark, d) -> DataFrame:
+    """A segment of two records for each document; German ones have a flipped byte."""
+    @F.pandas_udf(BinaryType())
+    def record(texts: pd.Series, damage: pd.Series) -> pd.Series:
+        def one(t: str, bad: bool) -> bytes:
+            raw = bytearray(b"".join(Z.encode_record(Z.HASHES["sha256"](p), p) for p in (t.encode(), b"second " + t.encode())))
+            raw[64] ^= bool(bad)
+            return bytes(raw)
+
+        return pd.Series([one(t, b) for t, b in zip(texts, damage, strict=True)])
+
+    return I.table(spark, d, "documents").select(F.col("doc_id").cast("int").alias("segment"), record("text", F.col("lang") == "de").alias("content"))
+
+
+@query("SELECT CAST(doc_id AS INTEGER) AS segment, 0 AS \"offset\", 'payload_hash_mismatch' AS kind, sha256(text) AS block_id FROM documents WHERE lang = 'de'")
+def scrub_findings(spark, d) -> DataFrame:
+    found = Z.scrub(_segments(spark, d), "sha256")
+    return found.where("kind = 'payload_hash_mismatch'")
+
+
+@query("""WITH p AS (SELECT CAST(doc_id AS INTEGER) AS segment, sha256(text) AS a, octet_length(encode(text)) AS n, sha256('second ' || text) AS b FROM documents)
+SELECT segment, a AS block_id, 0 AS "offset", n AS payload_len FROM p UNION ALL SELECT segment, b, CAST(ceil((n + 64) / 4096.0) * 4096 AS BIGINT), n + 7 FROM p""")
+def segment_scan(spark, d) -> DataFrame:
+    return Z.index_records(_segments(spark, d))
+
+
+def _lease_log(spark, d) -> DataFrame:
+    """A log a user: events begin, commit, cancel, renew and advance leases in turn."""
+    e = F.col("event_id")
+    kinds = {"signup": "begin", "view": "renew", "click": "commit", "error": "advance", "purchase": "cancel"}
+    rows = I.table(spark, d, "events").select(F.col("user_id").cast("string").alias("cluster"), e.alias("log_index"), F.lit(1).cast("bigint").alias("sub"), I._cases("event_type", kinds, "blank").alias("kind"), e)
+    opening = rows.groupBy("cluster").agg((F.min("log_index") - 1).alias("log_index")).select("cluster", "log_index", F.lit(0).cast("bigint").alias("sub"), F.lit("register").alias("kind"), F.col("log_index").alias("event_id"))
+    x = rows.unionByName(opening)
+    long = lambda c: c.cast("bigint")
+    return x.select("cluster", "log_index", "sub", "kind", F.lit("a").alias("agent"), (e % 3).cast("string").alias("lease"), F.array((e % 3).cast("string")).alias("blocks"), F.concat(F.lit("k"), (e % 3).cast("string")).alias("key"), F.lit(None).cast("string").alias("parent"), long(F.lit(0)).alias("expected_revision"), long(e % 2).alias("expected_generation"), long(F.lit(3)).alias("ttl_ticks"), long(F.lit(0)).alias("expected_tick"), long(F.lit(1)).alias("generation"), long(F.lit(3)).alias("deadline_tick"))
+
+
+@query()
+def lease_fold(spark, d) -> DataFrame:
+    return L.fold(_lease_log(spark, d))
+
+
+@query()
+def lease_status(spark, d) -> DataFrame:
+    return L.leases(_lease_log(spark, d)).groupBy("cluster", "clock", "status").agg(F.count("*").alias("n"))
+
+
+@query()
+def pin_greedy(spark, d) -> DataFrame:
+    p = I.payloads(spark, d).select(F.col("source").alias("tier"), "pos", H.block_id(F.col("payload")).alias("block_id"), F.length("payload").cast("bigint").alias("payload_len"))
+    return T.pin_greedy(p, 1 << 17)
+
+
+def _accesses(spark, d) -> DataFrame:
+    e = F.col("event_id")
+    return I.table(spark, d, "events").select(F.col("user_id").cast("string").alias("tier"), e.alias("pos"), (e % 31).cast("string").alias("block_id"), (1000 + e % 31).alias("payload_len"), (e % 31 < 2).alias("pinned"), (e % 31 == 30).alias("quarantined"))
+
+
+@query()
+def tier_outcomes(spark, d) -> DataFrame:
+    return T.simulate(_accesses(spark, d), 8000)
+
+
+@query()
+def tier_stats(spark, d) -> DataFrame:
+    return T.tier_stats(T.simulate(_accesses(spark, d), 8000))
+
+
+@query(f"WITH {I.LOG} SELECT 'owner_not_registered' AS rule, lease AS subject FROM (SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS lease, CAST(user_id AS VARCHAR) AS agent FROM events WHERE event_type = 'view') WHERE agent NOT IN (SELECT agent FROM agents)")
+def snapshot_violations(spark, d) -> DataFrame:
+    state = G.materialize(I.log(spark, d), I.ACTIVATED_AT)
+    found = X.snapshot_violations(state, I.leases(spark, d), 1 << 40, I.CLOCK)
+    return found.where("rule = 'owner_not_registered'")
