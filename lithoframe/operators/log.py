@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 
-AT = F.struct("log_index", "sub")
+
+def place():
+    """An entry's place in the log, a chain's links in their order."""
+    return F.struct("log_index", "sub")
 
 
 def expanded(mutations: DataFrame) -> DataFrame:
@@ -31,14 +34,14 @@ def agents(mutations: DataFrame) -> DataFrame:
 
 def bindings(mutations: DataFrame) -> DataFrame:
     """key, agent, blocks, log_index: the last bind of a key, its owner included."""
-    last = mutations.where("kind = 'bind'").groupBy("key").agg(F.max_by(F.struct("agent", "blocks", "log_index"), AT).alias("b"))
+    last = mutations.where("kind = 'bind'").groupBy("key").agg(F.max_by(F.struct("agent", "blocks", "log_index"), place()).alias("b"))
     return last.select("key", "b.agent", "b.blocks", "b.log_index")
 
 
 def edges(mutations: DataFrame) -> DataFrame:
     """parent_key, child_key, first_log_index, sub, last_log_index; edges are never removed."""
     linked = mutations.where("kind = 'bind' and parent is not null")
-    first = linked.groupBy(F.col("parent").alias("parent_key"), F.col("key").alias("child_key")).agg(F.min(AT).alias("f"), F.max("log_index").alias("last_log_index"))
+    first = linked.groupBy(F.col("parent").alias("parent_key"), F.col("key").alias("child_key")).agg(F.min(place()).alias("f"), F.max("log_index").alias("last_log_index"))
     return first.select("parent_key", "child_key", F.col("f.log_index").alias("first_log_index"), "f.sub", "last_log_index")
 
 
