@@ -84,10 +84,10 @@ def test_compaction_leaves_the_newest_segment(spark):
 
 
 def test_put_many_and_fsck(spark):
-    p = spark.createDataFrame([(0, b"kalpa"), (1, b"x"), (2, b"x"), (3, b"old")], "pos long, payload binary")
+    p = spark.createDataFrame([(0, b"fresh"), (1, b"x"), (2, b"x"), (3, b"old")], "pos long, payload binary")
     store = B.identified(spark.createDataFrame([(0, b"old")], "pos long, payload binary")).select("block_id", "payload")
     ids, fresh = B.put_many(p, store)
-    assert ids.count() == 4 and sorted(bytes(r.payload) for r in fresh.collect()) == [b"kalpa", b"x"]
+    assert ids.count() == 4 and sorted(bytes(r.payload) for r in fresh.collect()) == [b"fresh", b"x"]
     bad = store.withColumn("payload", F.lit(b"new"))
     assert B.verify_all(bad).first().corrupt == 1 and B.damaged(bad).count() == 1
 
