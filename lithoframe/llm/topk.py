@@ -130,7 +130,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         starts = np.concatenate([[0], np.cumsum(sizes)])
         out: list[tuple] = []
         for d in np.unique(sizes[asks]):
-            part = lambda which, d=d: values[(starts[:-1][which, None] + np.arange(d)).reshape(-1)].reshape(-1, d)
+            part = lambda which, d=d: values[(starts[:-1][which, None] + np.arange(d)).reshape(-1)].reshape(len(which), d)
             mine, theirs = np.flatnonzero(~asks & (sizes == d)), np.flatnonzero(asks & (sizes == d))
             if len(mine):
                 block = SlicedBlock(ids[mine], part(mine))
