@@ -2,11 +2,13 @@
 
 Shingles are five words. Document frequencies are counted over all documents in a fixed number of hashed
 counters, so the table that is broadcast has the same size for any corpus; frequencies below the counters'
-noise count as rare. Samples drawn by weight tf * idf are banded; in each band's bucket the documents are
-compared with a leader, and leaders change until a bucket lies in one class or every member has led, so no
-pair of a bucket is lost and at most a bucket's size of pairs is made at a time. A pair is verified on whole
-texts by weighted Jaccard similarity; verification damps the idf, since the shingles of thousands of copies are
-frequent for that reason alone. Classes are the connected components of verified pairs.
+noise count as rare. Samples drawn by weight tf * idf are banded, and every document of a bucket is compared with
+the bucket's leader. In buckets that then still span several classes, the members outside the leader's class are
+held against all members in a grid of bounded cells: first each with its nearest of another class in a cell, which
+joins most to a large group without making its pairs, then all pairs of classes that are still apart whose samples
+agree often enough. So a link is not lost because neither end leads. A pair is verified on whole texts by weighted
+Jaccard similarity; verification damps the idf, since the shingles of thousands of copies are frequent for that
+reason alone. Classes are the connected components of verified pairs.
 
 Cases: null texts and texts without a word are classes of their own; texts of fewer than five words are one
 shingle; equal texts are one node, so repeated rows share a class; rows without doc_id take no part (class null,
@@ -33,6 +35,8 @@ BANDS, ROWS = 14, 4
 COUNTERS = 1 << 20
 SLICES = 32
 IDF_SPAN = 0.25  # verification weighs a rare shingle so much more than one that all documents have
+CELL = 512  # members on a side of a grid cell, about
+NEAREST, AGREE = 0.5, 0.64  # share of equal samples that a member's nearest in a cell, and then any other pair, needs to be compared on texts
 BLOCK_SHINGLES = 1 << 15
 MAX_MEMO = 500_000
 BLANKED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -113,12 +117,12 @@ def damped(idf_: np.ndarray) -> np.ndarray:
     return (1 + IDF_SPAN * idf_ / max(1e-9, float(idf_.max(initial=1e-9)))).astype(np.float32)
 
 
-def sampled(keys: np.ndarray, weights: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Band keys (documents, BANDS) of documents whose shingles lie one after another; none of them is empty."""
+def sampled(keys: np.ndarray, weights: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (documents, BANDS) and 16 bits of each sample, of documents whose shingles lie one after another; none of them is empty."""
     starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
     owner = np.repeat(np.arange(len(lens)), lens)
     log_weight = np.log(weights).astype(np.float32)
-    out = np.zeros((len(lens), BANDS), np.uint64)
+    out, kept = np.zeros((len(lens), BANDS), np.uint64), np.zeros((len(lens), BANDS * ROWS), "<u2")
     low, unit = U(0xFFFFFFFF), np.float32(2**-32)
     for i in range(BANDS * ROWS):
         x = mixed(keys + U(((2 * i + 1) * int(ODD)) & 0xFFFFFFFFFFFFFFFF))
@@ -133,12 +137,14 @@ def sampled(keys: np.ndarray, weights: np.ndarray, lens: np.ndarray) -> np.ndarr
         _, first = np.unique(owner[least], return_index=True)
         at = least[first]
         band = i // ROWS
-        out[:, band] = mixed(out[:, band] * ODD + mixed(keys[at] ^ mixed(t[at].astype(np.int64).view(np.uint64))) + U(band + 1))
-    return out
+        sample = mixed(keys[at] ^ mixed(t[at].astype(np.int64).view(np.uint64)))
+        kept[:, i] = sample >> U(48)
+        out[:, band] = mixed(out[:, band] * ODD + sample + U(band + 1))
+    return out, kept
 
 
 def sketches(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, h (16 bytes of the text's digest), b0.. (band keys), for documents with an id and a word."""
+    """docs(doc_id, text) -> doc_id, h (16 bytes of the text's digest), samples (2 bytes each), b0.. (band keys), for documents with an id and a word."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # COUNTERS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,11 +160,12 @@ def sketches(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 if size >= BLOCK_SHINGLES or (size and i == len(texts) - 1):
                     found.append(sampled(np.concatenate(keys), np.concatenate(values), np.array(lens)))
                     keys, values, lens, size = [], [], [], 0
-            bands = np.concatenate(found) if found else np.zeros((0, BANDS), np.uint64)
+            bands = np.concatenate([x for x, _ in found]) if found else np.zeros((0, BANDS), np.uint64)
+            samples = [row.tobytes() for _, x in found for row in x]
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("h").take(at), *(pa.array(np.ascontiguousarray(bands[:, j]).view(np.int64)) for j in range(BANDS))], names=["doc_id", "h", *(f"b{j}" for j in range(BANDS))])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("h").take(at), pa.array(samples, pa.binary()), *(pa.array(np.ascontiguousarray(bands[:, j]).view(np.int64)) for j in range(BANDS))], names=["doc_id", "h", "samples", *(f"b{j}" for j in range(BANDS))])
 
-    kind = "doc_id bigint, h binary, " + ", ".join(f"b{j} bigint" for j in range(BANDS))
+    kind = "doc_id bigint, h binary, samples binary, " + ", ".join(f"b{j} bigint" for j in range(BANDS))
     return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.unhex(F.md5("text")).alias("h"), "text").mapInArrow(run, kind)
 
 
@@ -208,36 +215,75 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def across(state: DataFrame, samples: DataFrame, nearest: bool) -> DataFrame:
+    """state(bucket, node, label, leader_label) of split buckets, samples(node, samples) -> pairs a < b of different classes that agree.
+
+    Cells pair CELL members outside the leader's class with CELL of all members, so no task holds a whole large bucket.
+    nearest: of each member outside only the pair with the one that agrees most in a cell, the smaller on ties.
+    """
+    outside = F.col("label") != F.col("leader_label")
+    sizes = state.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(outside).alias("u"))
+    cells = lambda c: F.ceil(F.col(c) / CELL).cast("int")
+    members = state.join(samples, "node").join(sizes, "bucket").select("bucket", "node", "label", "samples", outside.alias("outside"), cells("n").alias("across"), cells("u").alias("down"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    rows = members.where("outside").select("bucket", "node", "label", "samples", F.lit(True).alias("asks"), place("down").alias("y"), every("across").alias("x"))
+    cols = members.select("bucket", "node", "label", "samples", F.lit(False).alias("asks"), every("down").alias("y"), place("across").alias("x"))
+
+    def run(key: tuple, cell: pa.Table) -> pa.Table:
+        asks = cell.column("asks").to_numpy()
+        nodes, labels = cell.column("node").to_numpy(), cell.column("label").to_numpy()
+        all_ = np.frombuffer(b"".join(cell.column("samples").to_pylist()), "<u2").reshape(len(nodes), -1)
+        y, x = np.flatnonzero(asks), np.flatnonzero(~asks)
+        a, b = [], []
+        for i in y:
+            equal = np.where(labels[x] == labels[i], 0, (all_[x] == all_[i]).mean(1))
+            near = x[equal >= (NEAREST if nearest else AGREE)]
+            if nearest and len(near):
+                near = near[[np.lexsort((nodes[near], -equal[equal >= NEAREST]))[0]]]
+            a.append(np.minimum(nodes[near], nodes[i]))
+            b.append(np.maximum(nodes[near], nodes[i]))
+        return pa.table({"a": np.concatenate([*a, np.empty(0, np.int64)]), "b": np.concatenate([*b, np.empty(0, np.int64)])})
+
+    return rows.unionByName(cols).groupBy("bucket", "y", "x").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """docs(doc_id, text) -> doc_id, class_id: a row each."""
     docs = docs.select("doc_id", "text")
     counts, n = document_counts(docs)
     raw = idf(counts, max(1, n))
-    damped_idf = docs.sparkSession.sparkContext.broadcast(damped(raw))
+    weights = docs.sparkSession.sparkContext.broadcast(damped(raw))
     made = settle(sketches(docs, raw))
-    nodes = settle(made.groupBy("h").agg(F.min("doc_id").alias("node"), *[F.min(f"b{j}").alias(f"b{j}") for j in range(BANDS)]))
+    nodes = settle(made.groupBy("h").agg(F.min("doc_id").alias("node"), F.any_value("samples").alias("samples"), *[F.min(f"b{j}").alias(f"b{j}") for j in range(BANDS)]))
     buckets = nodes.select("node", F.explode(F.array(*[f"b{j}" for j in range(BANDS)])).alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    buckets = settle(buckets.join(shared.select("bucket"), "bucket"))
+    leaders = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("bucket", "leader")
+    buckets = settle(buckets.join(leaders, "bucket").select("bucket", "node", "leader"))
     texts = settle(docs.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    classes = settle(buckets.select("node").distinct().withColumn("label", F.col("node")))
-    open_, tried = buckets, None
-    while True:
-        state = open_.join(classes, "node")
-        split = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("node", "label")).alias("lead")).where("low < high").select("bucket", F.col("lead.node").alias("leader"), F.col("lead.label").alias("leader_label"))
-        state = settle(state.join(split, "bucket").select("bucket", "node", "label", "leader", "leader_label"))
-        pairs = state.where("label <> leader_label").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = settle(pairs)
-        if not state.limit(1).count():
-            break
-        links = verified(pairs, texts, damped_idf, least)
-        by_a = links.join(classes.select(F.col("node").alias("a"), F.col("label").alias("x")), "a")
-        merged = components(by_a.join(classes.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        classes = settle(classes.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
-        tried = pairs if tried is None else settle(tried.union(pairs))
-        open_ = state.where("node <> leader").select("bucket", "node")
+
+    def linked(pairs: DataFrame, classes: DataFrame | None) -> DataFrame:
+        """node, label of what the verified pairs join, on top of the classes so far."""
+        links = verified(pairs, texts, weights, least)
+        if classes is None:
+            return components(links)
+        own = lambda c, name: classes.select(F.col("node").alias(c), F.col("label").alias(name))
+        ends = links.join(own("a", "x"), "a", "left").join(own("b", "y"), "b", "left")
+        merged = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        moved = classes.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        return settle(moved.unionByName(merged.select(F.col("label").alias("node"), F.col("to").alias("label")).join(classes, "node", "left_anti")))
+
+    classes = linked(buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), None)
+    tried = None
+    for nearest in (True, False):
+        of = lambda c, name, now=classes: now.select(F.col("node").alias(c), F.col("label").alias(name))
+        state = buckets.join(of("node", "label"), "node", "left").join(of("leader", "leader_label"), "leader", "left")
+        state = state.select("bucket", "node", "leader", F.coalesce("label", "node").alias("label"), F.coalesce("leader_label", "leader").alias("leader_label"))
+        split = state.groupBy("bucket").agg(F.count_if(F.col("label") != F.col("leader_label")).alias("u"), F.count("*").alias("n")).where("u > 0 and n > 2").select("bucket")
+        buckets = settle(state.join(split, "bucket").select("bucket", "node", "leader", "label", "leader_label"))
+        pairs = across(buckets.drop("leader"), nodes.select("node", "samples"), nearest)
+        tried = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        classes = linked(tried, classes)
+        buckets = buckets.select("bucket", "node", "leader")
     by_text = made.select("doc_id", "h").join(nodes.select("h", "node"), "h").join(classes, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("class_id"))
     return docs.select("doc_id").join(by_text, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
