@@ -38,7 +38,8 @@ IDF_SPAN = 0.25  # verification weighs a rare shingle so much more than one that
 CELL = 512  # members on a side of a grid cell, about
 NEAREST, AGREE = 0.5, 0.64  # share of equal samples that a member's nearest in a cell, and then any other pair, needs to be compared on texts
 BLOCK_SHINGLES = 1 << 15
-MAX_MEMO = 500_000
+MAX_MEMO = 200_000
+SLICE_ROWS = 1000  # of a batch that are held as Python objects
 BLANKED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
@@ -72,13 +73,19 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(h, return_counts=True)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(i, SLICE_ROWS)
+
+
 def document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
     """How many documents have a shingle of each counter, and the number of documents: SLICES rows reach the driver."""
     width = COUNTERS // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size, n = np.zeros(COUNTERS, np.int64), [], 0, 0
-        for b in batches:
+        for b in sliced(batches):
             for t in b.column("text").to_pylist():
                 k, _ = shingles(t)
                 held.append((k & U(COUNTERS - 1)).astype(np.int64))
@@ -149,7 +156,7 @@ def sketches(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = shared.value
-        for b in batches:
+        for b in sliced(batches):
             keys, values, lens, rows, size, found = [], [], [], [], 0, []
             texts = b.column("text").to_pylist()
             for i, t in enumerate(texts):
