@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .. import schemas as S
@@ -171,28 +172,35 @@ def _relevant(mutations: DataFrame) -> DataFrame:
     return mutations.where(mutations.kind.isin(*MOVES))
 
 
+def _in_order(log: pa.Table) -> list[dict]:
+    return log.sort_by([("log_index", "ascending"), ("sub", "ascending")]).to_pylist()
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string())}
+    fields = [c.split(" ", 1) for c in schema.split(", ")]
+    return pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(fields)})
+
+
 def fold(mutations: DataFrame) -> DataFrame:
     """mutations with a cluster column -> cluster and schemas.RESPONSES, an answer for each entry that leases depend on."""
+    schema = "cluster string, " + S.RESPONSES
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        log = LeaseLog()
-        rows = [(e["cluster"], e["log_index"], *log.take(e)) for e in entries(frame)]
-        return pd.DataFrame(rows, columns=["cluster", "log_index", "status", "reason", "generation", "deadline_tick"]).astype({"generation": "Int64", "deadline_tick": "Int64"})
+    def run(key: tuple, log: pa.Table) -> pa.Table:
+        state = LeaseLog()
+        return _table([(e["cluster"], e["log_index"], *state.take(e)) for e in _in_order(log)], schema)
 
-    return _relevant(mutations).groupBy("cluster").applyInPandas(run, "cluster string, " + S.RESPONSES)
+    return _relevant(mutations).groupBy("cluster").applyInArrow(run, schema)
 
 
 def leases(mutations: DataFrame) -> DataFrame:
     """mutations with a cluster column -> cluster, clock and schemas.LEASES after the whole log."""
-    names = ["cluster", "clock", *[c.split()[0] for c in S.LEASES.split(", ")]]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        log = LeaseLog()
-        cluster = None
-        for e in entries(frame):
-            cluster = e["cluster"]
-            log.take(e)
-        whole = ("created_at", "committed_revision", "cancelled_at", "expired_at", "generation", "deadline_tick", "ttl_ticks")
-        return pd.DataFrame([(cluster, log.s["clock"], *r) for r in log.rows()], columns=names).astype(dict.fromkeys(whole, "Int64"))
-
-    return _relevant(mutations).groupBy("cluster").applyInPandas(run, "cluster string, clock bigint, " + S.LEASES)
+    schema = "cluster string, clock bigint, " + S.LEASES
+
+    def run(key: tuple, log: pa.Table) -> pa.Table:
+        state = LeaseLog()
+        for e in _in_order(log):
+            state.take(e)
+        return _table([(key[0].as_py(), state.s["clock"], *r) for r in state.rows()], schema)
+
+    return _relevant(mutations).groupBy("cluster").applyInArrow(run, schema)
