@@ -1,7 +1,9 @@
 """Language ID by compression: each text is encoded with one raw-content zstandard dictionary per language.
 
-The language whose dictionary gives the smallest frame wins; where the runner-up is nearly as small the
-prediction is marked rejected. Cases: a null text or one without a letter is `und`, score 0, rejected; equal
+The language whose dictionary gives the smallest frames wins; where the runner-up's are nearly as small the
+prediction is marked rejected. A dictionary saves about as much on a long text as on a short one, so a text is
+encoded in blocks of bounded size, all of them, and the sizes are summed: the margin's share does not shrink with
+length. Cases: a null text or one without a letter is `und`, score 0, rejected; equal
 sizes go to the alphabetically first language with score 0, rejected; with nothing to learn from every text
 is `und`; repeated rows are predicted alike, each on its own row; columns other than the named ones are ignored.
 """
@@ -21,7 +23,8 @@ from .common import table
 ROWS_PER_LANG = 96  # labelled rows that a dictionary is fitted on, at most
 DICT_BYTES = 64 << 10  # size of a language's dictionary, at most
 LEVEL = 5
-MIN_MARGIN = 0.002  # the runner-up must be larger by this share of its size
+BLOCK_BYTES = 64 << 10  # of a text that a frame covers, at most
+MIN_MARGIN = 0.002  # the runner-up must be larger by this share of its size over all blocks
 #: Bytes other than ASCII letters and parts of longer characters become spaces, so only words are compared.
 BLANKED = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 LETTER = regex.compile(r"\p{L}")
@@ -37,6 +40,17 @@ def folded(text: str) -> bytes:
     return text.lower().encode().translate(BLANKED)
 
 
+def blocks(raw: bytes) -> Iterator[bytes]:
+    """The whole of a folded text in blocks of BLOCK_BYTES at most, cut at spaces where there are any."""
+    at = 0
+    while len(raw) - at > BLOCK_BYTES:
+        end = raw.rfind(b" ", at + 1, at + BLOCK_BYTES)
+        end = end if end > 0 else at + BLOCK_BYTES
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
 def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """A dictionary per language from at most rows_per_lang labelled texts, those of smallest hash.
 
@@ -77,8 +91,8 @@ def judge(text: str | None, coders: list, min_margin: float) -> tuple[str, float
     """Language, score, margin in bytes, whether it is rejected."""
     if not coders or text is None or not LETTER.search(text):
         return "und", 0.0, 0, True
-    raw = folded(text)
-    sizes = sorted((len(c.compress(raw)), lang) for lang, c in coders)
+    parts = list(blocks(folded(text)))
+    sizes = sorted((sum(len(c.compress(p)) for p in parts), lang) for lang, c in coders)
     (least, lang), second = sizes[0], sizes[1][0] if len(sizes) > 1 else 2 * sizes[0][0]
     return lang, 1 - least / second, second - least, second - least < max(1, min_margin * second)
 

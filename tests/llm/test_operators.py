@@ -52,6 +52,27 @@ def test_language(spark):
     assert langid.fit(docs(spark, relabelled)) == langid.fit(docs(spark, train))
 
 
+def test_long_text_of_one_language_is_kept(spark):
+    forms = random.Random(11)
+    made = lambda n: ["".join(forms.choice("abcdefghijkl") for _ in range(forms.randint(3, 9))) for _ in range(n)]
+    shared = made(3200)  # words of both languages
+    vocab = {lang: shared + made(800) for lang in ("aa", "bb")}
+    drawn = lambda lang, seed, n: " ".join(random.Random(seed).choices(vocab[lang], k=n))
+    train = [(i, drawn(("aa", "bb")[i % 2], i, 300), ("aa", "bb")[i % 2]) for i in range(200)]
+    long = [(1000, drawn("aa", 1000, 600_000), None), (1001, drawn("bb", 1001, 600_000), None)]
+    assert all(len(t) > 4_000_000 for _, t, _ in long)
+    rows = docs(spark, train + long)
+    assert {1000, 1001} <= {r.doc_id for r in langid.stage(spark, rows, "").collect()}
+    found = {r.doc_id: r for r in langid.predict(rows, langid.fit(rows)).collect()}
+    assert (found[1000].lang_pred, found[1001].lang_pred) == ("aa", "bb")
+
+
+def test_language_blocks_cover_the_whole_text():
+    for raw in (b"", b"word", b"a" * 200_000, b"some words " * 30_000, b" " + b"b" * 70_000 + b" c"):
+        parts = list(langid.blocks(raw))
+        assert b"".join(parts) == raw and max(map(len, parts)) <= langid.BLOCK_BYTES
+
+
 CHAT = "conv_id bigint, turn bigint, role string, text string, w string"
 
 
