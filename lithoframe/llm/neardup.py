@@ -2,13 +2,14 @@
 
 Shingles are five words. Document frequencies are counted over all documents in a fixed number of hashed
 counters, so the table that is broadcast has the same size for any corpus; frequencies below the counters'
-noise count as rare. Samples drawn by weight tf * idf are banded, and every document of a bucket is compared with
-the bucket's leader. In buckets that then still span several classes, the members outside the leader's class are
+noise count as rare. The idf is damped, since the shingles of thousands of copies are frequent for that reason
+alone. Samples drawn by weight tf * damped idf are banded, and every document of a bucket is compared with the
+bucket's leader. In buckets that then still span several classes, the members outside the leader's class are
 held against all members in a grid of bounded cells: first each with its nearest of another class in a cell, which
 joins most to a large group without making its pairs, then all pairs of classes that are still apart whose samples
 agree often enough. So a link is not lost because neither end leads. A pair is verified on whole texts by weighted
-Jaccard similarity; verification damps the idf, since the shingles of thousands of copies are frequent for that
-reason alone. Classes are the connected components of verified pairs.
+Jaccard similarity under the same weights, so a pair's samples agree as often as it is similar. Classes are the
+connected components of verified pairs.
 
 Cases: null texts and texts without a word are classes of their own; texts of fewer than five words are one
 shingle; equal texts are one node, so repeated rows share a class; rows without doc_id take no part (class null,
@@ -34,7 +35,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
 COUNTERS = 1 << 20
 SLICES = 32
-IDF_SPAN = 0.25  # verification weighs a rare shingle so much more than one that all documents have
+IDF_SPAN = 0.25  # a rare shingle weighs so much more than one that all documents have
 CELL = 512  # members on a side of a grid cell, about
 NEAREST, AGREE = 0.5, 0.64  # share of equal samples that a member's nearest in a cell, and then any other pair, needs to be compared on texts
 BLOCK_SHINGLES = 1 << 15
@@ -259,9 +260,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """docs(doc_id, text) -> doc_id, class_id: a row each."""
     docs = docs.select("doc_id", "text")
     counts, n = document_counts(docs)
-    raw = idf(counts, max(1, n))
-    weights = docs.sparkSession.sparkContext.broadcast(damped(raw))
-    made = settle(sketches(docs, raw))
+    table_ = damped(idf(counts, max(1, n)))
+    weights = docs.sparkSession.sparkContext.broadcast(table_)
+    made = settle(sketches(docs, table_))
     nodes = settle(made.groupBy("h").agg(F.min("doc_id").alias("node"), F.any_value("samples").alias("samples"), *[F.min(f"b{j}").alias(f"b{j}") for j in range(BANDS)]))
     buckets = nodes.select("node", F.explode(F.array(*[f"b{j}" for j in range(BANDS)])).alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("bucket", "leader")

@@ -1,6 +1,7 @@
 """Each operator on its hard cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -240,6 +241,34 @@ def test_large_near_group_is_one_class(spark):
     assert {got[i] for i in range(150)} == {0} and all(got[i] == i for i in got if i >= 1000)
 
 
+def by_brute_force(rows, counts, n, least=neardup.SIMILARITY):
+    """doc_id -> least doc_id of its component, of all pairs that are similar enough, and the similarities."""
+    weights, made = neardup.damped(neardup.idf(counts, n)), [neardup.shingles(t) for _, t, _ in rows]
+    label, found = list(range(len(rows))), {}
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        found[i, j] = neardup.similarity(made[i], made[j], weights)
+        if found[i, j] >= least and label[i] != label[j]:
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+    return {r[0]: rows[x][0] for r, x in zip(rows, label, strict=True)}, found
+
+
+def test_samples_agree_as_often_as_pairs_of_a_hot_group_are_similar(spark):
+    base = words(300, seed=21)
+    rows = [(i, base + " " + words(25 + i % 4, seed=5000 + i), "aa") for i in range(60)] + [(1000 + i, words(300, seed=7000 + i), "aa") for i in range(120)]
+    table = docs(spark, rows)
+    want, found = by_brute_force(rows, *neardup.document_counts(table))
+    hot = {(i, j): s for (i, j), s in found.items() if j < 60}
+    assert all(0.78 < s < 0.86 for s in hot.values())
+    made, seen = neardup.sketches, []
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(neardup, "sketches", lambda *a: seen.append(made(*a)) or seen[-1])
+        got = {r.doc_id: r.class_id for r in neardup.near_duplicates(table).collect()}
+    assert got == want
+    samples = {r.doc_id: np.frombuffer(r.samples, "<u2") for r in seen[0].where("doc_id < 60").collect()}
+    assert abs(np.mean([(samples[i] == samples[j]).mean() - s for (i, j), s in hot.items()])) < 0.04
+
+
 def test_shared_passage_is_no_near_duplicate(spark):
     passage = words(80, seed=77)
     rows = [(i, passage + " " + words(60, seed=1000 + i), "aa") for i in range(120)]
