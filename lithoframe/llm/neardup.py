@@ -4,10 +4,12 @@ Shingles are five words. Document frequencies are counted over all documents in
 counters, so the table that is broadcast has the same size for any corpus; frequencies below the counters'
 noise count as rare. The idf is damped, since the shingles of thousands of copies are frequent for that reason
 alone. Samples drawn by weight tf * damped idf are banded, and every document of a bucket is compared with the
-bucket's leader. In buckets that then still span several classes, the members outside the leader's class are
-held against all members in a grid of bounded cells: first each with its nearest of another class in a cell, which
-joins most to a large group without making its pairs, then all pairs of classes that are still apart whose samples
-agree often enough. So a link is not lost because neither end leads. A pair is verified on whole texts by weighted
+bucket's leader. In buckets that then still span several classes, each member outside the leader's class first meets
+its nearest of another class in each cell of a bounded grid, which joins most to a large group without making its
+pairs; samples say only which pair comes first. In the buckets that even then span several classes, every pair of
+members of different classes is verified, inside cells of bounded size that hold the texts, so no pair of a bucket
+goes unverified unless its members are already in one class or the ratio of their total weights, which no
+similarity exceeds, is too small. A pair is verified on whole texts by weighted
 Jaccard similarity under the same weights, so a pair's samples agree as often as it is similar. Classes are the
 connected components of verified pairs.
 
@@ -37,7 +39,9 @@ COUNTERS = 1 << 20
 SLICES = 32
 IDF_SPAN = 0.25  # a rare shingle weighs so much more than one that all documents have
 CELL = 512  # members on a side of a grid cell, about
-NEAREST, AGREE = 0.5, 0.64  # share of equal samples that a member's nearest in a cell, and then any other pair, needs to be compared on texts
+CELL_SHINGLES = 1 << 18  # shingles on a side of a grid cell, about
+NEAREST = 0.5  # share of equal samples at which a member's nearest in a cell is tried before all other pairs
+FEW = 32  # pairs of one member in a cell that are compared one by one
 BLOCK_SHINGLES = 1 << 15
 MAX_MEMO = 200_000
 SLICE_ROWS = 1000  # of a batch that are held as Python objects
@@ -152,28 +156,29 @@ def sampled(keys: np.ndarray, weights: np.ndarray, lens: np.ndarray) -> tuple[np
 
 
 def sketches(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, h (16 bytes of the text's digest), samples (2 bytes each), b0.. (band keys), for documents with an id and a word."""
+    """docs(doc_id, text) -> doc_id, h (16 bytes of the text's digest), samples (2 bytes each), mass (total weight), size (shingles), b0.. (band keys), for documents with an id and a word."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # COUNTERS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = shared.value
         for b in sliced(batches):
-            keys, values, lens, rows, size, found = [], [], [], [], 0, []
+            keys, values, lens, rows, size, found, mass, sizes = [], [], [], [], 0, [], [], []
             texts = b.column("text").to_pylist()
             for i, t in enumerate(texts):
                 k, tf = shingles(t)
                 if len(k):
                     keys.append(k), values.append(table_[(k & U(COUNTERS - 1)).astype(np.int64)] * tf), lens.append(len(k)), rows.append(i)
                     size += len(k)
+                    mass.append(float(values[-1].sum())), sizes.append(len(k))
                 if size >= BLOCK_SHINGLES or (size and i == len(texts) - 1):
                     found.append(sampled(np.concatenate(keys), np.concatenate(values), np.array(lens)))
                     keys, values, lens, size = [], [], [], 0
             bands = np.concatenate([x for x, _ in found]) if found else np.zeros((0, BANDS), np.uint64)
             samples = [row.tobytes() for _, x in found for row in x]
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("h").take(at), pa.array(samples, pa.binary()), *(pa.array(np.ascontiguousarray(bands[:, j]).view(np.int64)) for j in range(BANDS))], names=["doc_id", "h", "samples", *(f"b{j}" for j in range(BANDS))])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("h").take(at), pa.array(samples, pa.binary()), pa.array(mass, pa.float64()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(bands[:, j]).view(np.int64)) for j in range(BANDS))], names=["doc_id", "h", "samples", "mass", "size", *(f"b{j}" for j in range(BANDS))])
 
-    kind = "doc_id bigint, h binary, samples binary, " + ", ".join(f"b{j} bigint" for j in range(BANDS))
+    kind = "doc_id bigint, h binary, samples binary, mass double, size bigint, " + ", ".join(f"b{j} bigint" for j in range(BANDS))
     return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.unhex(F.md5("text")).alias("h"), "text").mapInArrow(run, kind)
 
 
@@ -223,20 +228,24 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def across(state: DataFrame, samples: DataFrame, nearest: bool) -> DataFrame:
-    """state(bucket, node, label, leader_label) of split buckets, samples(node, samples) -> pairs a < b of different classes that agree.
+def grid(members: DataFrame, down: str, across: str) -> tuple[DataFrame, DataFrame]:
+    """members(bucket, node, outside, ...) with numbers of cells -> those outside in every cell of a row (y, x), all in every cell of a column."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    return members.where("outside").withColumns({"asks": F.lit(True), "y": place(down)}).withColumn("x", every(across)), members.withColumns({"asks": F.lit(False), "x": place(across)}).withColumn("y", every(down))
+
 
-    Cells pair CELL members outside the leader's class with CELL of all members, so no task holds a whole large bucket.
-    nearest: of each member outside only the pair with the one that agrees most in a cell, the smaller on ties.
+def nearest(state: DataFrame, samples: DataFrame) -> DataFrame:
+    """state(bucket, node, label, leader_label) of split buckets, samples(node, samples) -> pairs a < b of different classes.
+
+    Of each member outside the leader's class only the pair with the one of another class that agrees most in a cell, the
+    smaller on ties. Cells pair CELL members outside with CELL of all members, so no task holds a whole large bucket.
     """
     outside = F.col("label") != F.col("leader_label")
     sizes = state.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(outside).alias("u"))
     cells = lambda c: F.ceil(F.col(c) / CELL).cast("int")
     members = state.join(samples, "node").join(sizes, "bucket").select("bucket", "node", "label", "samples", outside.alias("outside"), cells("n").alias("across"), cells("u").alias("down"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    rows = members.where("outside").select("bucket", "node", "label", "samples", F.lit(True).alias("asks"), place("down").alias("y"), every("across").alias("x"))
-    cols = members.select("bucket", "node", "label", "samples", F.lit(False).alias("asks"), every("down").alias("y"), place("across").alias("x"))
+    rows, cols = (part.select("bucket", "node", "label", "samples", "asks", "y", "x") for part in grid(members, "down", "across"))
 
     def run(key: tuple, cell: pa.Table) -> pa.Table:
         asks = cell.column("asks").to_numpy()
@@ -246,8 +255,8 @@ def across(state: DataFrame, samples: DataFrame, nearest: bool) -> DataFrame:
         a, b = [], []
         for i in y:
             equal = np.where(labels[x] == labels[i], 0, (all_[x] == all_[i]).mean(1))
-            near = x[equal >= (NEAREST if nearest else AGREE)]
-            if nearest and len(near):
+            near = x[equal >= NEAREST]
+            if len(near):
                 near = near[[np.lexsort((nodes[near], -equal[equal >= NEAREST]))[0]]]
             a.append(np.minimum(nodes[near], nodes[i]))
             b.append(np.maximum(nodes[near], nodes[i]))
@@ -256,6 +265,93 @@ def across(state: DataFrame, samples: DataFrame, nearest: bool) -> DataFrame:
     return rows.unionByName(cols).groupBy("bucket", "y", "x").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
+def can_reach(a, b, least: float):
+    """Whether documents of total weights a and b can be so similar: the common weight is the smaller one at most."""
+    low, high = (F.least(a, b), F.greatest(a, b)) if not isinstance(b, np.ndarray) else (np.minimum(a, b), np.maximum(a, b))
+    return low >= high * (least * (1 - 1e-6))
+
+
+def postings(made: list[tuple], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of many documents in order, whose each is, and its weight there."""
+    keys = np.concatenate([k for k, _ in made])
+    owner = np.repeat(np.arange(len(made)), [len(k) for k, _ in made])
+    weight = weights[(keys & U(COUNTERS - 1)).astype(np.int64)] * np.concatenate([tf for _, tf in made])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], owner[order], weight[order]
+
+
+def common(one: tuple, index: tuple, n: int, weights: np.ndarray) -> np.ndarray:
+    """Weight that one document has in common with each of the n documents of postings()."""
+    keys, owner, weight = index
+    mine = weights[(one[0] & U(COUNTERS - 1)).astype(np.int64)] * one[1]
+    low = np.searchsorted(keys, one[0], "left")
+    lens = np.searchsorted(keys, one[0], "right") - low
+    at = np.repeat(low - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
+    return np.bincount(owner[at], np.minimum(weight[at], np.repeat(mine, lens)), minlength=n)
+
+
+def links_within(nodes, labels, mass, asks, asked, text, weights: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Verified pairs (a < b) that join all classes of a cell which any pair of one that asks and one asked joins; labels are updated.
+
+    text(i) gives the shingles of member i.
+    """
+    y, x = np.flatnonzero(asks), np.flatnonzero(asked)
+    index, out = None, []
+    for i in y:
+        near = np.flatnonzero((labels[x] != labels[i]) & can_reach(mass[i], mass[x], least))
+        if len(near) >= FEW:
+            if index is None:
+                index = postings([text(j) for j in x], weights)
+            both = common(text(i), index, len(x), weights)[near]
+            near = near[both >= least * (1 - 1e-6) * (mass[i] + mass[x[near]] - both)]
+        for j in x[near]:
+            if labels[j] != labels[i] and similarity(text(i), text(j), weights) >= least:
+                labels[labels == labels[j]] = labels[i]
+                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    return out
+
+
+def remaining(state: DataFrame, sizes: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
+    """state(bucket, node, label, leader_label) of split buckets -> similar pairs (a, b) that join all classes which a pair of a bucket joins.
+
+    sizes has node, mass, size. Every pair of different classes meets in a cell and is verified there unless the cell has
+    joined the two before. Buckets of one cell are put together in lots of about a cell.
+    """
+    outside = F.col("label") != F.col("leader_label")
+    members = state.join(sizes, "node").withColumn("outside", outside)
+    of = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.count_if("outside").alias("u"), F.sum(F.when(F.col("outside"), F.col("size"))).alias("us"))
+    cells = lambda n, s: F.ceil(F.greatest(F.col(n) / CELL, F.col(s) / CELL_SHINGLES)).cast("int")
+    of = settle(of.select("bucket", "n", "s", cells("n", "s").alias("across"), cells("u", "us").alias("down")))
+    small = of.where("across = 1").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    lots = max(1, (small.n or 0) // CELL, (small.s or 0) // CELL_SHINGLES)
+    placed = members.join(of.select("bucket", "across", "down"), "bucket")
+    rows, cols = grid(placed.where("across > 1"), "down", "across")
+    one = placed.where("across = 1").withColumns({"asks": F.col("outside"), "asked": F.lit(True), "unit": F.pmod(F.xxhash64("bucket"), F.lit(lots)), "y": F.lit(-1), "x": F.lit(-1)})
+    names = ["unit", "y", "x", "bucket", "node", "label", "mass", "asks", "asked"]
+    spread = rows.unionByName(cols).withColumns({"asked": ~F.col("asks"), "unit": F.col("bucket")})
+    all_ = spread.select(names).unionByName(one.select(names)).join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+
+    def run(key: tuple, unit: pa.Table) -> pa.Table:
+        unit = unit.sort_by([("bucket", "ascending"), ("node", "ascending")])
+        bucket, nodes, labels, mass, asks, asked = (unit.column(c).to_numpy().copy() for c in ("bucket", "node", "label", "mass", "asks", "asked"))
+        held: dict[int, tuple] = {}
+
+        def text(i: int) -> tuple:
+            if nodes[i] not in held:
+                held[nodes[i]] = shingles(unit.column("text")[int(i)].as_py())
+            return held[nodes[i]]
+
+        out = []
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        for start, end in zip(starts, [*starts[1:], len(bucket)], strict=True):
+            here = np.zeros(len(bucket), bool)
+            here[start:end] = True
+            out += links_within(nodes, labels, mass, asks & here, asked & here, text, weights.value, least)
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return all_.groupBy("unit", "y", "x").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """docs(doc_id, text) -> doc_id, class_id: a row each."""
     docs = docs.select("doc_id", "text")
@@ -263,15 +359,14 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     table_ = damped(idf(counts, max(1, n)))
     weights = docs.sparkSession.sparkContext.broadcast(table_)
     made = settle(sketches(docs, table_))
-    nodes = settle(made.groupBy("h").agg(F.min("doc_id").alias("node"), F.any_value("samples").alias("samples"), *[F.min(f"b{j}").alias(f"b{j}") for j in range(BANDS)]))
-    buckets = nodes.select("node", F.explode(F.array(*[f"b{j}" for j in range(BANDS)])).alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("bucket", "leader")
-    buckets = settle(buckets.join(leaders, "bucket").select("bucket", "node", "leader"))
+    nodes = settle(made.groupBy("h").agg(F.min("doc_id").alias("node"), *[F.any_value(c).alias(c) for c in ("samples", "mass", "size")], *[F.min(f"b{j}").alias(f"b{j}") for j in range(BANDS)]))
+    buckets = nodes.select("node", "mass", F.explode(F.array(*[f"b{j}" for j in range(BANDS)])).alias("bucket"))
+    leaders = buckets.groupBy("bucket").agg(F.min(F.struct("node", "mass")).alias("l"), F.max("node").alias("last")).where("l.node < last").select("bucket", F.col("l.node").alias("leader"), F.col("l.mass").alias("leader_mass"))
+    buckets = settle(buckets.join(leaders, "bucket").select("bucket", "node", "leader", can_reach(F.col("mass"), F.col("leader_mass"), least).alias("near")))
     texts = settle(docs.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
 
-    def linked(pairs: DataFrame, classes: DataFrame | None) -> DataFrame:
-        """node, label of what the verified pairs join, on top of the classes so far."""
-        links = verified(pairs, texts, weights, least)
+    def linked(links: DataFrame, classes: DataFrame | None) -> DataFrame:
+        """node, label of what similar pairs join, on top of the classes so far."""
         if classes is None:
             return components(links)
         own = lambda c, name: classes.select(F.col("node").alias(c), F.col("label").alias(name))
@@ -280,17 +375,20 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         moved = classes.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         return settle(moved.unionByName(merged.select(F.col("label").alias("node"), F.col("to").alias("label")).join(classes, "node", "left_anti")))
 
-    classes = linked(buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), None)
-    tried = None
-    for nearest in (True, False):
+    led = buckets.where("node <> leader and near").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    classes = linked(verified(led, texts, weights, least), None)
+    buckets = buckets.drop("near")
+    for first in (True, False):
         of = lambda c, name, now=classes: now.select(F.col("node").alias(c), F.col("label").alias(name))
         state = buckets.join(of("node", "label"), "node", "left").join(of("leader", "leader_label"), "leader", "left")
         state = state.select("bucket", "node", "leader", F.coalesce("label", "node").alias("label"), F.coalesce("leader_label", "leader").alias("leader_label"))
         split = state.groupBy("bucket").agg(F.count_if(F.col("label") != F.col("leader_label")).alias("u"), F.count("*").alias("n")).where("u > 0 and n > 2").select("bucket")
         buckets = settle(state.join(split, "bucket").select("bucket", "node", "leader", "label", "leader_label"))
-        pairs = across(buckets.drop("leader"), nodes.select("node", "samples"), nearest)
-        tried = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        classes = linked(tried, classes)
+        if first:
+            links = verified(settle(nearest(buckets.drop("leader"), nodes.select("node", "samples"))), texts, weights, least)
+        else:
+            links = remaining(buckets.drop("leader"), nodes.select("node", "mass", "size"), texts, weights, least)
+        classes = linked(links, classes)
         buckets = buckets.select("bucket", "node", "leader")
     by_text = made.select("doc_id", "h").join(nodes.select("h", "node"), "h").join(classes, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("class_id"))
     return docs.select("doc_id").join(by_text, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -269,6 +269,28 @@ def test_samples_agree_as_often_as_pairs_of_a_hot_group_are_similar(spark):
     assert abs(np.mean([(samples[i] == samples[j]).mean() - s for (i, j), s in hot.items()])) < 0.04
 
 
+def test_every_pair_of_a_bucket_is_verified_whatever_its_samples_say(spark):
+    base = words(300, seed=31)
+    outlier = [(0, base[: len(base) // 2] + " " + words(150, seed=32), "aa")]
+    group = [(1 + i, base + " " + words(24 + i % 12, seed=8000 + i), "aa") for i in range(70)]
+    others = [(200 + i, t, "aa") for i in range(10) for t in [words(60 + i, seed=9000 + i)]] + [(300 + i, near(words(60 + i, seed=9000 + i), i, 2), "aa") for i in range(10)]
+    rows, made = outlier + group + others, neardup.sketches
+    table = docs(spark, rows)
+    want, _ = by_brute_force(rows, *neardup.document_counts(table))
+    assert len(set(want.values())) > 12
+
+    def one_bucket(*a):
+        meaningless = F.unhex(F.concat(*[F.md5(F.concat_ws(" ", "doc_id", F.lit(i))) for i in range(7)]))
+        alone = {f"b{j}": -F.col("doc_id") * neardup.BANDS - j for j in range(1, neardup.BANDS)}
+        return made(*a).withColumns({"samples": meaningless, "b0": F.lit(1).cast("bigint"), **alone})
+
+    for cell in (neardup.CELL, 16):
+        with pytest.MonkeyPatch.context() as patched:
+            patched.setattr(neardup, "sketches", one_bucket)
+            patched.setattr(neardup, "CELL", cell)
+            assert {r.doc_id: r.class_id for r in neardup.near_duplicates(table).collect()} == want
+
+
 def test_shared_passage_is_no_near_duplicate(spark):
     passage = words(80, seed=77)
     rows = [(i, passage + " " + words(60, seed=1000 + i), "aa") for i in range(120)]
