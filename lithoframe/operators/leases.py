@@ -204,3 +204,29 @@ def leases(mutations: DataFrame) -> DataFrame:
         return _table([(key[0].as_py(), state.s["clock"], *r) for r in state.rows()], schema)
 
     return _relevant(mutations).groupBy("cluster").applyInArrow(run, schema)
+
+
+def effects(mutations: DataFrame) -> DataFrame:
+    """mutations with a cluster column -> what accepted lease entries do to the rest of the state, as rows of a log.
+
+    A commit is a bind, a repeated one touches its own and its key's blocks, begin and renew touch the lease's blocks;
+    the entry that activates leases is an activate row besides.
+    """
+    schema = "log_index bigint, sub bigint, kind string, agent string, key string, blocks array<string>, parent string"
+
+    def run(key: tuple, log: pa.Table) -> pa.Table:
+        state, out = LeaseLog(), []
+        for e in _in_order(log):
+            active, old = state.s["active"], state.s["leases"].get(e["lease"]) or {}
+            again = bool(old.get("commit"))
+            accepted = state.take(e)[0] == "ok"
+            at = (e["log_index"], e["sub"])
+            if state.s["active"] and not active:
+                out.append((*at, "activate", None, None, None, None))
+            if accepted and e["kind"] == "commit":
+                out.append((*at, "touch" if again else "bind", e["agent"], e["key"], e["blocks"], e["parent"]))
+            elif accepted and e["kind"] in ("begin", "renew"):
+                out.append((*at, "touch", e["agent"], None, state.s["leases"][e["lease"]]["blocks"], None))
+        return _table(out, schema)
+
+    return _relevant(mutations).groupBy("cluster").applyInArrow(run, schema)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from . import leases as L
 
 
 def place():
@@ -68,9 +69,12 @@ def revisions(mutations: DataFrame, activated_at: int | None) -> DataFrame:
 
 def block_fences(mutations: DataFrame) -> DataFrame:
     """block_id, log_index: the last accepted request that touched a block, as bound, replaced or required."""
-    order = Window.partitionBy("key").orderBy("log_index", "sub")
-    both = F.concat("blocks", F.coalesce(F.lag("blocks").over(order), F.array().cast("array<string>")))
-    bound = mutations.where("kind = 'bind'").select("log_index", both.alias("blocks")).select("log_index", F.explode("blocks").alias("block_id"))
+    before = Window.partitionBy("key").orderBy("log_index", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    old = F.last(F.when(F.col("kind") == "bind", F.col("blocks")), ignorenulls=True).over(before)
+    both = F.concat("blocks", F.coalesce(old, F.array().cast("array<string>")))
+    keyed = mutations.where("kind = 'bind' or kind = 'touch' and key is not null").select("log_index", both.alias("blocks"))
+    touched = mutations.where("kind = 'touch' and key is null").select("log_index", "blocks")
+    bound = keyed.unionByName(touched).select("log_index", F.explode("blocks").alias("block_id"))
     required = mutations.where("kind = 'require'").where(requirement_valid()).select("log_index", F.explode("blocks").alias("block_id"))
     return bound.unionByName(required).groupBy("block_id").agg(F.max("log_index").alias("log_index"))
 
@@ -92,8 +96,19 @@ class State:
     fences: DataFrame
 
 
+def with_leases(mutations: DataFrame) -> tuple[DataFrame, int | None]:
+    """The log with the effects of its accepted lease entries, and the index that activates leases; a log of one cluster."""
+    if "lease" not in mutations.columns or not mutations.where(F.col("kind").isin("begin", "commit", "renew")).limit(1).count():
+        return mutations, None
+    found = L.effects(mutations.withColumn("cluster", F.lit("")))
+    first = found.where("kind = 'activate'").agg(F.min("log_index").alias("at")).first()
+    return mutations.unionByName(found.where("kind <> 'activate'"), allowMissingColumns=True), first.at
+
+
 def materialize(mutations: DataFrame, activated_at: int | None = None) -> State:
-    """activated_at: the log index of the first valid lease, from which revisions count."""
+    """activated_at: the log index of the first valid lease, from which revisions count; the log's own if it has leases."""
+    mutations, own = with_leases(mutations)
+    activated_at = own if activated_at is None else activated_at
     bound = bindings(mutations)
     return State(agents(mutations), bound, edges(mutations), block_refs(bound), replica_requirements(mutations), revisions(mutations, activated_at), block_fences(mutations))
 

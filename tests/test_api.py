@@ -62,3 +62,18 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     has_llm = importlib.util.find_spec("lithoframe.llm") is not None
     assert has_llm == any(n.startswith("op1_") for n in entry.queries())
+
+
+def test_state_has_what_lease_commits_bind(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "leased"))
+    row = lambda i, kind, lease=None, key=None, blocks=None, parent=None, revision=None: (i, kind, "a", lease, key, blocks, parent, revision)
+    rows = [
+        row(1, "register"), row(2, "bind", key="k", blocks=["x"]), row(3, "begin", "l", blocks=["y", "z"]), row(4, "begin", "m", blocks=["w"]),
+        row(5, "commit", "l", "k", ["y", "z"], "p", 0), row(6, "commit", "m", "k", ["w"], None, 0), row(7, "bind", key="k", blocks=["v"]), row(8, "commit", "l", "k", ["y", "z"], "p", 0),
+    ]
+    e.append(spark.createDataFrame(rows, "log_index long, kind string, agent string, lease string, key string, blocks array<string>, parent string, expected_revision long"))
+    s = e.state()
+    assert [(r.key, r.blocks, r.log_index) for r in s.bindings.collect()] == [("k", ["v"], 7)]
+    assert [(r.parent_key, r.child_key, r.first_log_index) for r in s.edges.collect()] == [("p", "k", 5)]
+    assert [(r.key, r.revision) for r in s.revisions.collect()] == [("k", 2)]
+    assert {r.block_id: r.log_index for r in s.fences.collect()} == {"x": 5, "y": 8, "z": 8, "w": 4, "v": 8}
