@@ -2,8 +2,8 @@
 
 Two first-order models over a fixed alphabet, one of random strings and one of ordinary identifiers, are fitted
 on labelled samples; a token whose log-likelihood ratio passes the threshold is a `markov` span, unless it
-overlaps a base span. DataFrame functions only. Positions are code points, ends exclusive. Cases: a null or
-empty text has no spans; a row is scanned on its own, so repeated rows come out alike; columns other than
+overlaps a base span. DataFrame functions only; work grows in proportion to a text's length, also where one token or
+very many spans fill it. Positions are code points, ends exclusive. Cases: a null or empty text has no spans; a row is scanned on its own, so repeated rows come out alike; columns other than
 doc_id and text are ignored.
 """
 
@@ -21,6 +21,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
+MARKOV = 3
 MIN_VALUE = 6
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
@@ -31,30 +32,54 @@ MIN_RATIO = 14.0  # nats by which the random model must be likelier
 MIN_PER_CHAR = 0.35
 REDACTED = "[SECRET]"
 SPAN = "struct<start:int,kind:int,end:int>"
+BLOCK = 64  # items of an array that are folded at a time
+
+
+def bound(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(items: Column, zero: Column, kind: str, step) -> Column:
+    """The states step(state, item) after each item. Blocks of items keep the copying of the growing array short."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def block(last: Column, some: Column) -> Column:
+        return F.aggregate(some, F.struct(last.alias("last"), none.alias("out")), lambda a, x: bound(step(a["last"], x), lambda v: F.struct(v.alias("last"), F.concat(a["out"], F.array(v)).alias("out"))))
+
+    def blocks(all_: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")),
+            F.struct(zero.cast(kind).alias("last"), F.array().cast(f"array<array<{kind}>>").alias("out")),
+            lambda a, b: bound(block(a["last"], F.slice(all_, b * BLOCK + 1, BLOCK)), lambda r: F.struct(r["last"].alias("last"), F.concat(a["out"], F.array(r["out"])).alias("out"))),
+            lambda a: F.flatten(a["out"]),
+        )
+
+    return bound(items, lambda all_: F.when(F.size(all_) > 0, blocks(all_)).otherwise(none))
 
 
 def _located(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """Spans of the pattern's matches: their starts follow from the pieces between them. keep(text, spans) filters."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    spans = F.aggregate(
-        F.arrays_zip(F.transform(found, F.length).alias("m"), F.transform(F.slice(pieces, 1, F.size(found)), F.length).alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")),
-        lambda a, x: F.struct((a["at"] + x["gap"] + x["m"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (a["at"] + x["gap"] + x["m"]).alias("end")))).alias("out")),
-        lambda a: a["out"],
-    )
-    spans = keep(text, spans) if keep else spans
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    """Spans of the pattern's matches: their starts follow from the pieces between them. keep(matches, spans) filters."""
 
+    def placed(found: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), F.length)
+        steps = F.zip_with(gaps, found, lambda gap, m: F.struct((gap + F.length(m)).alias("move"), F.length(m).alias("m")))
+        ends = running(steps, F.lit(0), "int", lambda at, x: at + x["move"])
+        spans = F.zip_with(ends, found, lambda end, m: F.struct((end - F.length(m)).alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
+        return keep(found, spans) if keep else spans
 
-def _long_values(text: Column, spans: Column) -> Column:
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), F.length)
-    return F.filter(spans, lambda s, i: F.get(sizes, i) >= MIN_VALUE)
+    none = F.array().cast(f"array<{SPAN}>")
+    return F.when(text.rlike(pattern), bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(none)
+
+
+def _long_values(text: Column):
+    values = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), F.length)
+    return lambda found, spans: bound(values, lambda sizes: F.filter(spans, lambda s, i: F.get(sizes, i) >= MIN_VALUE))
 
 
 def base_spans(text: Column) -> Column:
     """Sorted by start, then kind as listed."""
-    return F.array_sort(F.concat(_located(text, ASSIGN, 0, _long_values), _located(text, ACCESS, 1), _located(text, HEX, 2)))
+    return F.array_sort(F.concat(_located(text, ASSIGN, 0, _long_values(text)), _located(text, ACCESS, 1), _located(text, HEX, 2)))
 
 
 def labelled_samples(docs: DataFrame) -> DataFrame:
@@ -84,26 +109,35 @@ def fit(samples: DataFrame, smooth: float = 0.5) -> list[float]:
 
 
 def ratio(token: Column, model: list[float]) -> Column:
+    """Log-likelihood ratio of a token, whose characters are taken apart once."""
     k = len(ALPHABET)
-    at = lambda i: F.call_function("locate", token.substr(i, F.lit(1)), F.lit(ALPHABET))
     table_ = F.lit(model)
     return F.aggregate(
-        F.sequence(F.lit(1), F.length(token)),
+        F.transform(F.split(token, ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET))),
         F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum")),
-        lambda a, i: F.struct(at(i).alias("last"), (a["sum"] + F.get(table_, a["last"] * (k + 1) + at(i))).alias("sum")),
+        lambda a, at: F.struct(at.alias("last"), (a["sum"] + F.get(table_, a["last"] * (k + 1) + at)).alias("sum")),
         lambda a: a["sum"],
     )
 
 
-def markov_spans(text: Column, base: Column, model: list[float], min_ratio: float = MIN_RATIO, min_per_char: float = MIN_PER_CHAR) -> Column:
-    def unlike(t: Column, spans: Column) -> Column:
-        def random(s: Column) -> Column:
-            r = ratio(t.substr(s["start"] + 1, s["end"] - s["start"]), model)
-            return (r >= min_ratio) & (r >= min_per_char * (s["end"] - s["start"]))
+def apart(spans: Column, base: Column) -> Column:
+    """Spans that overlap none of base, by a sweep in either direction over both in order."""
+
+    def swept(all_: Column) -> Column:
+        is_base = lambda s: s["kind"] < MARKOV
+        ends = running(all_, F.lit(0), "int", lambda end, s: F.when(is_base(s), F.greatest(end, s["end"])).otherwise(end))
+        starts = running(F.reverse(all_), F.lit((1 << 31) - 1), "int", lambda start, s: F.when(is_base(s), F.least(start, s["start"])).otherwise(start))
+        open_ = lambda e, n: F.filter(all_, lambda s, i: ~is_base(s) & (F.get(e, i) <= s["start"]) & (F.get(n, F.size(all_) - 1 - i) >= s["end"]))
+        return bound(ends, lambda e: bound(starts, lambda n: open_(e, n)))
 
-        return F.filter(spans, lambda s: ~F.exists(base, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])) & random(s))
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), bound(F.array_sort(F.concat(spans, base)), swept)).otherwise(spans)
 
-    return _located(text, CANDIDATE, 3, unlike)
+
+def markov_spans(text: Column, base: Column, model: list[float], min_ratio: float = MIN_RATIO, min_per_char: float = MIN_PER_CHAR) -> Column:
+    def unlike(found: Column, spans: Column) -> Column:
+        return F.filter(spans, lambda s, i: ratio(F.get(found, i), model) >= F.greatest(F.lit(min_ratio), min_per_char * (s["end"] - s["start"])))
+
+    return bound(_located(text, CANDIDATE, MARKOV, unlike), lambda spans: apart(spans, base))
 
 
 def scan(docs: DataFrame, model: list[float], **how) -> DataFrame:
@@ -119,13 +153,20 @@ def written(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with REDACTED for each stretch of spans."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], text.substr(a["at"] + 1, s["start"] - a["at"]), F.lit(REDACTED)).alias("out"))).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
-    )
-    return F.when(F.size(spans) > 0, F.concat(done["out"], text.substr(done["at"] + 1, F.length(text)))).otherwise(text)
+    """The text with REDACTED for each stretch of spans; what lies between is cut from one piece of text a block of spans."""
+
+    def joined(ends: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        gaps = F.filter(F.transform(spans, lambda s, i: F.struct(before(i).alias("start"), s["start"].alias("end"))), lambda g: g["start"] <= g["end"])
+        cut = lambda some: bound(
+            text.substr(some[0]["start"] + 1, F.element_at(some, -1)["end"] - some[0]["start"]),
+            lambda piece: F.transform(some, lambda g: F.concat(piece.substr(g["start"] - some[0]["start"] + 1, g["end"] - g["start"]), F.lit(REDACTED))),
+        )
+        parts = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda b: bound(F.slice(all_, b * BLOCK + 1, BLOCK), lambda some: F.array_join(cut(some), "")))
+        return F.concat(F.array_join(bound(gaps, parts), ""), text.substr(F.element_at(ends, -1) + 1, F.length(text)))
+
+    ends = running(spans, F.lit(0), "int", lambda end, s: F.greatest(end, s["end"]))
+    return F.when(F.size(spans) > 0, bound(ends, joined)).otherwise(text)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

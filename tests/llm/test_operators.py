@@ -2,7 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -116,7 +119,7 @@ def test_top_k(spark):
     r = np.random.default_rng(1)
     x = r.normal(0, 0.2, (150, 8)).astype("f4")
     x[10:40] = x[10]
-    rows = [(i, v.tolist(), "c") for i, v in enumerate(x)] + [(500, None, "c"), (501, [float("nan")] * 8, "c"), (502, [None] + [1.0] * 7, "c"), (None, [1.0] * 8, "c"), (503, [float("inf")] * 8, "c"), (520, [1.0, 2.0], "c"), (521, [1.0, -2.0], "c"), (540, [], "c"), (20, x[0].tolist(), "c")]
+    rows = [(i, v.tolist(), "c") for i, v in enumerate(x)] + [(500, None, "c"), (501, [float("nan")] * 8, "c"), (502, [None] + [1.0] * 7, "c"), (None, [1.0] * 8, "c"), (503, [float("inf")] * 8, "c"), (520, [1.0, 2.0], "c"), (521, [1.0, -2.0], "c"), (540, [], "c"), (20, x[0].tolist(), "c"), (560, [1e9, 1.0], "c"), (580, [-3e38, 2.0], "c"), (581, [3e38, -1.0], "c"), (582, [5.0, 1e17], "c"), (600, [1e30] + [0.5] * 7, "c")]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, asks string")
     got = {}
     for g in topk.top_k(topk.quantised(df), F.col("vec_id") % 20 == 0, 7).collect():
@@ -124,11 +127,12 @@ def test_top_k(spark):
     q = {}
     for i, v, _ in rows:
         if i is not None and v is not None and all(e is not None and np.isfinite(e) for e in v):
-            q.setdefault(i, []).append(np.floor(64 * np.array(v, "f4").astype(float)).astype(int).tolist())
+            q.setdefault(i, []).append([max(-(2**63) + 1, min(2**63 - 1, math.floor(64 * float(np.float32(e))))) for e in v])
     want = {}
     for a in (i for i in q if i % 20 == 0):
         ask = min(q[a])
-        s = sorted((-int(np.dot(ask, v)), b) for b, vs in q.items() if b != a for v in vs if len(v) == len(ask))[:7]
+        inner = lambda v, ask=ask: max(-(2**63), min(2**63 - 1, sum(c * e for c, e in zip(ask, v, strict=True))))
+        s = sorted((-inner(v), b) for b, vs in q.items() if b != a for v in vs if len(v) == len(ask))[:7]
         if s:
             want[a] = [(n, b, -k) for n, (k, b) in enumerate(s, 1)]
     assert {k: sorted(v) for k, v in got.items()} == want
@@ -352,6 +356,74 @@ def test_secrets(spark):
     assert got == {i: (s, t) for i, (_, s, t) in cases.items()}
 
 
+def by_regular_expressions(text):
+    """Base spans by Python's re, one character class at a time."""
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.IGNORECASE | re.ASCII):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end()))
+    for kind, pattern, least in ((1, r"AKIA[A-Z0-9]+", 20), (2, r"[0-9a-f]+", 24)):
+        out += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    return sorted(out)
+
+
+def by_the_model(text, base, model):
+    """Markov spans: a loop over characters, every pair of spans compared."""
+    out, k = [], len(secrets.ALPHABET)
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text):
+        if len(m[0]) >= 16 and not any(m.start() < e and s < m.end() for s, _, e in base):
+            at = [secrets.ALPHABET.index(c) + 1 for c in m[0]]
+            r = sum(model[a * (k + 1) + b] for a, b in zip([0, *at], at, strict=False))
+            if r >= secrets.MIN_RATIO and r >= secrets.MIN_PER_CHAR * len(m[0]):
+                out.append((m.start(), 3, m.end()))
+    return out
+
+
+def by_code_points(text, spans):
+    hidden, out = set(), []
+    for s, _, e in spans:
+        hidden |= set(range(s, e))
+    starts = {s for s, _, _ in spans}
+    for i, c in enumerate(text):
+        if i not in hidden:
+            out.append(c)
+        elif i in starts and not any(s < i < e for s, _, e in spans):
+            out.append("[SECRET]")
+    return "".join(out)
+
+
+def secret_texts(r, n):
+    pieces = [lambda: "".join(r.choices("0123456789abcdef", k=r.randint(10, 50))), lambda: "".join(r.choices(secrets.ALPHABET, k=r.randint(4, 60))), lambda: "AKIA" + "".join(r.choices("ABCXYZ0189", k=r.randint(8, 24))), lambda: r.choice(["token", "Api_Key", "PASSWORD", "secret"]) + r.choice(["", '"', "'"]) + r.choice([":", " = ", "= "]) + r.choice(["", '"']) + "".join(r.choices("abcABC019/.", k=r.randint(3, 12))), lambda: words(r.randint(1, 4), seed=r.random()), lambda: r.choice(["é🙂", "\n", "ordinaryIdentifierName", "x=" * 12])]
+    return ["".join(r.choice(pieces)() + r.choice([" ", "", "  ", ";"]) for _ in range(r.randint(0, 300))) for _ in range(n)]
+
+
+def test_secrets_are_those_of_a_plain_scan(spark):
+    model = secrets.fit(secrets.labelled_samples(docs(spark, [(i, words(200, seed=i), "aa") for i in range(50)])))
+    texts = [*secret_texts(random.Random(12), 40), None, "", "x"]
+    rows = docs(spark, [(i // 2, t, None) for i, t in enumerate(texts + texts)])  # repeated ids and rows
+    got = sorted((r.doc_id, r.text or "", [tuple(s) for s in r.b], [tuple(s) for s in r.s], r.t) for r in secrets.scan(rows, model).select("doc_id", "text", F.col("__base").alias("b"), F.col("__spans").alias("s"), F.coalesce(secrets.redacted(F.col("text"), F.col("__spans")), F.lit("")).alias("t")).collect())
+    want = []
+    for i, t in enumerate(texts + texts):
+        base = by_regular_expressions(t or "")
+        spans = sorted(base + by_the_model(t or "", base, model))
+        want.append((i // 2, t or "", base, spans, by_code_points(t or "", spans)))
+    assert got == sorted(want) and sum(len(w[3]) for w in want) > 2000
+
+
+def test_secrets_in_long_texts_take_time_in_proportion(spark):
+    r = random.Random(5)
+    model = secrets.fit(secrets.labelled_samples(docs(spark, [(i, words(200, seed=i), "aa") for i in range(50)])))
+    token = "".join(r.choices(secrets.ALPHABET[:62], k=1_000_000))
+    hashes = " ".join("".join(r.choices("0123456789abcdef", k=40)) for _ in range(20_000))
+    found = {}
+    for i, t in enumerate(["short", f"a {token} b", hashes, hashes.upper()]):
+        began = time.monotonic()
+        out = secrets.scan(docs(spark, [(i, t, None)]), model).select(F.size("__spans").alias("n"), secrets.redacted(F.col("text"), F.col("__spans")).alias("t")).first()
+        found[i] = out.n, len(out.t), time.monotonic() - began
+    assert [found[i][:2] for i in (1, 2)] == [(1, 12), (20_000, 20_000 * 9 - 1)]
+    assert all(found[i][2] < found[0][2] + 15 for i in found)  # quadratic work would take minutes
+
+
 def test_urls(spark):
     urls = ["http://A.example.com/en/71?x#y", "https://example.com/en/6", "http://x.net/de/", "http://example.net/de/8", "http://org/es/", "http://com.org/en/", "no scheme", None, "http://h?utm_source=1&b=2&a=1", "https://www.h/?a=1&b=2#z", "http://h/x", "http://www.h//?a=1&b=2", "http://dup/1", "http://dup/1"]
     df = spark.createDataFrame([(i, u, "c") for i, u in enumerate(urls)], "page_id bigint, url string, listed string")
