@@ -8,8 +8,10 @@ each block are merged by query.
 
 Cases: vectors that are null or hold a null or a non-finite component take no part, nor do null ids; vectors of
 different lengths are not compared; a query's candidates are the rows with another id, so with repeated ids
-none of the query's own rows, and the least of its vectors is the query; fewer candidates than k give all of them; quantised components
-must be below 2^31 in size; other columns are ignored.
+none of the query's own rows, and the least of its vectors is the query; fewer candidates than k give all of them;
+quantised components and scores beyond 64 bits are the nearest 64-bit integer (components without the least one), and
+nothing else about large ones differs: rows with components of 2^31 or more are scored beside the index in
+integers of any size; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from .common import settle, table
 
 SCALE = 64
 K = 20
-BLOCK_ROWS = 1 << 16
+BLOCK_CELLS = 1 << 22  # components in a block, about
+BIG = 1 << 31  # size of a component that the index does not hold
+LONG = (1 << 63) - 1
 CHUNK_QUERIES = 1 << 12
 LEAST_TASKS = 16
 LEAST_CHUNK = 128
@@ -32,19 +36,36 @@ FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vectors(vec_id, embedding) -> vec_id, q (array of int), of those that take part."""
+    """vectors(vec_id, embedding) -> vec_id, q (array of bigint), of those that take part."""
     x = F.col("embedding")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(fine, F.lit(False))).select("vec_id", F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("int")).alias("q"))
+    return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(fine, F.lit(False))).select("vec_id", F.transform(x, lambda v: F.greatest(F.floor(v.cast("double") * scale), F.lit(-LONG))).alias("q"))  # floor ends at 64 bits
+
+
+def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in integers of any size, then the nearest 64-bit ones."""
+    return np.array([max(-LONG - 1, min(LONG, s)) for s in x.astype(object) @ q.astype(object)], np.int64)
+
+
+def leading(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores, ties to the smaller id."""
+    order = np.lexsort((ids, ~scores))[:k]
+    return ids[order], scores[order]
 
 
 class SlicedBlock:
-    """Bitmaps by dimension and bit over rows in the order of their ids."""
+    """Bitmaps by dimension and bit over rows in the order of their ids; rows with big components stand beside them."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order].astype(np.int64)
+        ids, x = ids[order], x[order].astype(np.int64)
+        big = (np.abs(x) >= BIG).any(1)
+        self.big_ids, self.big = ids[big], x[big]
+        self.ids, self.x = ids[~big], x[~big]
+        self.reach = np.abs(self.x).max(0, initial=0).astype(object)
         n, d = self.x.shape
+        if not n:
+            return
         low = self.x.min(0)
         up = self.x - low
         self.bits = max(1, int(up.max(initial=0)).bit_length())
@@ -89,6 +110,19 @@ class SlicedBlock:
 
     def best(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows of other ids, all if fewer."""
+        if not len(self.ids):
+            found = np.empty(0, np.int64), np.empty(0, np.int64)
+        elif int(self.reach @ np.abs(q).astype(object)) > LONG:
+            other = self.ids != query_id
+            found = leading(self.ids[other], exact(self.x[other], q), k)
+        else:
+            found = self._picked(query_id, q, k)
+        other = self.big_ids != query_id
+        if not other.any():
+            return found
+        return leading(np.concatenate([found[0], self.big_ids[other]]), np.concatenate([found[1], exact(self.big[other], q)]), k)
+
+    def _picked(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         lo, hi = np.searchsorted(self.ids, [query_id, query_id + 1])
         open_ = self.valid.copy()
         if lo < hi:
@@ -112,13 +146,13 @@ class SlicedBlock:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """quantised vectors and a condition for queries -> query_id, rank, vec_id, score."""
-    rows = settle(vectors)
+    rows = settle(vectors.withColumn("row", F.monotonically_increasing_id()))  # numbers that stay, so equal rows spread
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("q").alias("q"))
-    n, m = rows.count(), asked.count()
-    r = max(1, -(-n // BLOCK_ROWS))
+    cells, m = rows.agg(F.sum(F.size("q") + 1)).first()[0] or 0, asked.count()
+    r = max(1, -(-cells // BLOCK_CELLS))
     c = max(-(-m // CHUNK_QUERIES), min(-(-m // LEAST_CHUNK), -(-LEAST_TASKS // r)), 1)
     every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
-    held = rows.select("vec_id", "q", F.lit(False).alias("asks"), F.pmod(F.xxhash64("vec_id", "q"), F.lit(r)).cast("int").alias("r"), every(c).alias("c"))
+    held = rows.select("vec_id", "q", F.lit(False).alias("asks"), F.pmod(F.xxhash64("vec_id", "row"), F.lit(r)).cast("int").alias("r"), every(c).alias("c"))
     asking = asked.select("vec_id", "q", F.lit(True).alias("asks"), every(r).alias("r"), F.pmod(F.xxhash64("vec_id"), F.lit(c)).cast("int").alias("c"))
 
     def run(key: tuple, cell: pa.Table) -> pa.Table:
@@ -152,11 +186,13 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op3_topk": op3_topk}
 ORACLE_SQL = {
     "op3_topk": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN abs(CAST(x AS DOUBLE)) < 1e17 THEN CAST(floor(64 * CAST(x AS DOUBLE)) AS HUGEINT) WHEN x > 0 THEN 9223372036854775807 ELSE -9223372036854775807 END) AS q FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
-      FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
+a AS (SELECT vec_id, min(q) AS q FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])), 0) AS score
+      FROM a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+c AS (SELECT query_id, vec_id, CAST(greatest(least(score, 9223372036854775807), -9223372036854775808) AS BIGINT) AS score FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c) WHERE rank <= 20
 """
 }
