@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+HOT = 1024  # a key is hot if it has more than this part of all rows, so fewer keys than that are
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +21,13 @@ def recounted(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the one that the cluster names; a temporary one only where it names none, as in tests."""
+    """The folder that all executors share, as the cluster names it. Only a local master, as in tests, gets a temporary one where none is named."""
     context = spark.sparkContext
     if found := context.getConf().get(CHECKPOINT_KEY):
         return found.rstrip("/")
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lithoframe-"))
     return context.getCheckpointDir()
 
@@ -36,3 +39,20 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def hot_keys(counts: DataFrame, total: int) -> list[tuple[int, int]]:
+    """counts(key, n) of total rows -> (key, tasks that its rows are spread over), fewer than HOT of them, for met()."""
+    limit = max(1, total // HOT)
+    return [(r[0], -(-r[1] // limit)) for r in counts.where(F.col(counts.columns[1]) > limit).collect()]
+
+
+def met(rows: DataFrame, keyed: DataFrame, key: str, hot: list[tuple[int, int]], by: list[str]) -> DataFrame:
+    """The inner join of rows with keyed, one row a key, where no task gets all rows of a hot key: they are spread by a hash of `by`."""
+    if not hot:
+        return rows.join(keyed, key)
+    salts = F.broadcast(rows.sparkSession.createDataFrame(hot, f"{key} bigint, __salts bigint"))  # fewer than HOT rows
+    one = F.coalesce("__salts", F.lit(1))
+    left = rows.join(salts, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*by), one)).drop("__salts")
+    right = keyed.join(salts, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), one - 1))).drop("__salts")
+    return left.join(right, [key, "__salt"]).drop("__salt")

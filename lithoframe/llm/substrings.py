@@ -3,12 +3,12 @@
 A gear hash of the last 16 bytes cuts texts into variable chunks, so cuts depend on content and an insertion
 shifts only the chunks around it. Chunks are compared by digest over the whole corpus: the document of least id
 that holds a chunk keeps it. A stretch of consecutive chunks that earlier documents hold is removed if it has
-MIN_WORDS words or more; shorter coincidences stay. A digest is counted by partial sums before the shuffle, so a
-passage that many documents share is no hot task.
+MIN_WORDS words or more; shorter coincidences stay. A digest's holders are found by partial aggregation, and the
+occurrences of one that very many documents share are spread over tasks.
 
 Cases: null and empty texts have no chunks; rows without doc_id take no part and keep their text; rows of one
-doc_id are versions of one document, which do not take passages from each other; repeated rows come out
-alike; a text is cut to whole words at both ends of what is removed; other columns pass through the stage unchanged.
+doc_id are versions of one document, which do not take passages from each other, and what only they or one text
+repeat is not repeated across documents; repeated rows come out alike; a text is cut to whole words at both ends of what is removed; other columns pass through the stage unchanged.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import recounted, table
+from .common import hot_keys, met, recounted, settle, table
 
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 16, 4, 120  # bytes; cuts are 2^MASK_BITS bytes apart beyond the least size
 MIN_WORDS = 25
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, dtype=np.uint16)
 #: place: start << 32 | length << 24 | words << 18 | 18 bits of the text's hash
-CHUNKS = "doc_id bigint, digest bigint, place bigint, again boolean"
+CHUNKS = "doc_id bigint, digest bigint, place bigint"
 FOUND = "doc_id bigint, version int, n_chunks int, repeated_words int, removed_words int, removed array<struct<start:bigint,end:bigint>>, kept_in array<bigint>"
 
 
@@ -59,28 +59,25 @@ def version_of(raw: bytes) -> int:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> CHUNKS; again marks a chunk that stands in its document already."""
+    """docs(doc_id, text) -> CHUNKS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
-                ids, digests, places, repeats = [], [], [], []
+                ids, digests, places = [], [], []
                 for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                     if doc is None or not text:
                         continue
                     raw = text.encode()
-                    version, start, seen = version_of(raw), 0, set()
+                    version, start = version_of(raw), 0
                     for end in cuts(raw):
                         piece = raw[start:end]
-                        d = xxhash.xxh3_64_intdigest(piece)
-                        digests.append(d)
+                        digests.append(xxhash.xxh3_64_intdigest(piece))
                         places.append(start << 32 | (end - start) << 24 | min(63, piece.count(b" ") + piece.count(b"\n")) << 18 | version)
-                        repeats.append(d in seen)
-                        seen.add(d)
                         start = end
                     ids.extend([doc] * (len(digests) - len(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(places, pa.int64()), pa.array(repeats, pa.bool_())], names=["doc_id", "digest", "place", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(places, pa.int64())], names=["doc_id", "digest", "place"])
 
     return docs.select("doc_id", "text").mapInArrow(run, CHUNKS)
 
@@ -88,9 +85,11 @@ def chunks(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """FOUND, for each document with a stretch of min_words or more that another has too; positions are bytes of its UTF-8."""
     made = chunks(docs)
-    held = made.groupBy("digest").agg(F.sum(F.when(F.col("again"), 0).otherwise(1)).alias("n"), F.min("doc_id").alias("first")).where(F.col("n") > 1).select("digest", "first")
-    shared = made.select("doc_id", "digest", "place").join(held, "digest")
-    by_doc = shared.groupBy("doc_id", F.col("place").bitwiseAND(F.lit(0x3FFFF).cast("bigint")).cast("int").alias("version")).agg(F.collect_list(F.struct("place", "first")).alias("chunks"))
+    held = made.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    held = settle(held.select("digest", "n", "first"))
+    total = held.agg(F.sum("n")).first()[0] or 0
+    shared = met(made, held.select("digest", "first"), "digest", hot_keys(held.select("digest", "n"), total), ["doc_id", "place"])
+    by_doc = shared.groupBy("doc_id", F.col("place").bitwiseAND(F.lit(0x3FFFF).cast("bigint")).cast("int").alias("version")).agg(F.collect_set(F.struct("place", "first")).alias("chunks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lithoframe.llm import bytebpe, chat, langid, neardup, packing, quality, secrets, substrings, topk, urlfilter, wordbpe
+from lithoframe.llm import bytebpe, chat, common, langid, neardup, packing, quality, secrets, substrings, topk, urlfilter, wordbpe
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, version string, base int"
 rng = random.Random(7)
@@ -525,3 +525,47 @@ def test_substrings(spark):
         assert len(out[i]) < len(rows[i - 1][1]) - 150
         assert set(out[i].split()) <= set(rows[i - 1][1].split())
     assert all(out[20 + i] == words(150, seed=2000 + i) for i in range(5))
+
+
+def by_brute_force_of_chunks(rows, least=substrings.MIN_WORDS):
+    """doc_id -> the texts that earlier documents hold, and which: every stretch of every two documents compared."""
+    holders, own = {}, {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        ends = substrings.cuts(raw)
+        own.setdefault((i, raw), [(s, raw[s:e]) for s, e in zip([0, *ends], ends, strict=False)])
+        for _, c in own[i, raw]:
+            holders.setdefault(c, set()).add(i)
+    out = {}
+    size = lambda cs: sum(c.count(b" ") + c.count(b"\n") for c in cs)
+    for (i, _), cs in own.items():
+        stretches = [[c for _, c in g] for k, g in itertools.groupby(cs, lambda x: len(holders[x[1]]) > 1) if k]
+        stretches = [s for s in stretches if size(s) >= least]
+        gone = [list(g) for s in stretches for k, g in itertools.groupby(s, lambda c: min(holders[c]) != i) if k]
+        if stretches:
+            out[i] = [b"".join(g) for g in gone if size(g) >= least], sorted({min(holders[c]) for s in stretches for c in s}), sum(map(len, stretches))
+    return out
+
+
+def test_substrings_equal_brute_force(spark):
+    r = random.Random(9)
+    passages = [words(n, seed=6000 + n) for n in (30, 55, 80, 200)]
+    rows = [(i, " ".join(r.choice(passages) if r.random() < 0.3 else words(r.randint(5, 60), seed=r.random()) for _ in range(r.randint(1, 6)))) for i in range(60)]
+    rows += [(100 + i, passages[2] + " " + words(20, seed=100 + i)) for i in range(300)]  # a hot passage
+    rows += [(500, passages[3])] * 40 + [(501, words(90, seed=501))] * 3 + [(502, (words(60, seed=502) + " ") * 3), (503, None)]  # repeated rows, and what one text repeats
+    df = docs(spark, [(i, t, None) for i, t in rows])
+    texts = dict(rows)
+    want = by_brute_force_of_chunks(rows)
+    got = {x.doc_id: ([texts[x.doc_id].encode()[s.start : s.end] for s in x.removed], x.kept_in, x.n_chunks) for x in substrings.repeated(df).collect()}
+    assert got == want and {100, 399, 500} <= set(want) and not {501, 502, 503} & set(want)
+
+
+def test_rows_of_a_hot_key_are_spread(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    hot = common.hot_keys(counts, 20_000)
+    assert [k for k, _ in hot] == [7] and 300 < hot[0][1] <= common.HOT
+    keyed = spark.range(0, 20_000, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v")).unionByName(spark.createDataFrame([(7, 70)], "k bigint, v bigint"))
+    out = common.met(rows, keyed, "k", hot, ["id"])
+    assert out.columns == ["k", "id", "v"]
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, rows.join(keyed, "k").collect()))
