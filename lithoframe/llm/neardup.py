@@ -1,9 +1,11 @@
 """Near-duplicate documents by improved consistent weighted sampling (Ioffe, 2010) over TF-IDF shingles.
 
 Shingles are five words. Document frequencies are counted over all documents in a fixed number of hashed
-counters, so the table that is broadcast has the same size for any corpus; frequencies below the counters'
-noise count as rare. The idf is damped, since the shingles of thousands of copies are frequent for that reason
-alone. Samples drawn by weight tf * damped idf are banded, and every document of a bucket is compared with the
+counters, so the table that is broadcast has the same size for any corpus. A frequency below RARE of the documents
+counts as RARE, at any corpus size: what shares a counter with a shingle adds to it in proportion to the corpus,
+which is subtracted, and scatters by a part of RARE that shrinks as the corpus grows. Whatever a counter holds, a shingle
+weighs the same in every document. The idf is damped, since the shingles of thousands of copies are frequent for that
+reason alone. Samples drawn by weight tf * damped idf are banded, and every document of a bucket is compared with the
 bucket's leader. In buckets that then still span several classes, each member outside the leader's class first meets
 its nearest of another class in each cell of a bounded grid, which joins most to a large group without making its
 pairs; samples say only which pair comes first. In the buckets that even then span several classes, every pair of
@@ -27,16 +29,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import hot_keys, met, settle, table
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
 COUNTERS = 1 << 20
 SLICES = 32
+SUMMED = 64  # tables of counters that one task adds up
+RARE = 1 / 4096  # share of documents below which a shingle's frequency makes no difference
 IDF_SPAN = 0.25  # a rare shingle weighs so much more than one that all documents have
 CELL = 512  # members on a side of a grid cell, about
 CELL_SHINGLES = 1 << 18  # shingles on a side of a grid cell, about
@@ -102,27 +106,29 @@ def document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
             if held:
                 counts += np.bincount(np.concatenate(held), minlength=COUNTERS)
             rows = [zlib.compress(counts[i * width : (i + 1) * width].tobytes(), 1) for i in range(SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([TaskContext.get().partitionId() // 64] * SLICES, pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array(rows, pa.binary())], names=["slice", "part", "n", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([TaskContext.get().partitionId() // SUMMED] * SLICES, pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array(rows, pa.binary())], names=["slice", "part", "n", "counts"])
 
     def add(rows: pa.Table) -> pa.Table:
+        """The sum of SUMMED tables at most; part becomes that of the next level."""
         total = np.zeros(width, np.int64)
         for x in rows.column("counts"):
             total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
         first = rows.slice(0, 1)
-        return pa.table({"slice": first.column("slice"), "part": first.column("part"), "n": pa.array([sum(rows.column("n").to_pylist())], pa.int64()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        return pa.table({"slice": first.column("slice"), "part": pa.array([first.column("part")[0].as_py() // SUMMED], pa.int32()), "n": pa.array([sum(rows.column("n").to_pylist())], pa.int64()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     kind = "slice int, part int, n bigint, counts binary"
-    sums = docs.select("text").mapInArrow(count, kind).groupBy("slice", "part").applyInArrow(add, kind).groupBy("slice").applyInArrow(add, kind).collect()
-    out = np.zeros(COUNTERS, np.int64)
+    sums, left = docs.select("text").mapInArrow(count, kind), max(2, docs.rdd.getNumPartitions())
+    while left > 1:
+        sums, left = sums.groupBy("slice", "part").applyInArrow(add, kind), -(-left // SUMMED)
+    out, sums = np.zeros(COUNTERS, np.int64), sums.collect()
     for r in sums:
         out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(zlib.decompress(r.counts), np.int64)
     return out, (sums[0].n if sums else 0)
 
 
 def idf(counts: np.ndarray, n: int) -> np.ndarray:
-    """ln(1 + n / df) by counter; a count within three deviations of the mean load is taken as noise."""
-    load = counts.mean()
-    return np.log1p(n / np.maximum(counts - load, max(1.0, 3 * np.sqrt(load)))).astype(np.float32)
+    """ln(1 + n / df) by counter, df being its count beyond the mean load, RARE of all documents at least."""
+    return np.log1p(n / np.maximum(counts - counts.mean(), max(1.0, RARE * n))).astype(np.float32)
 
 
 def damped(idf_: np.ndarray) -> np.ndarray:
@@ -155,8 +161,12 @@ def sampled(keys: np.ndarray, weights: np.ndarray, lens: np.ndarray) -> tuple[np
     return out, kept
 
 
+def digest() -> Column:
+    return F.unhex(F.md5("text"))
+
+
 def sketches(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, h (16 bytes of the text's digest), samples (2 bytes each), mass (total weight), size (shingles), b0.. (band keys), for documents with an id and a word."""
+    """docs(doc_id, h, text) -> doc_id, h (16 bytes of the text's digest), samples (2 bytes each), mass (total weight), size (shingles), b0.. (band keys), for documents with a word."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # COUNTERS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +189,7 @@ def sketches(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("h").take(at), pa.array(samples, pa.binary()), pa.array(mass, pa.float64()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(bands[:, j]).view(np.int64)) for j in range(BANDS))], names=["doc_id", "h", "samples", "mass", "size", *(f"b{j}" for j in range(BANDS))])
 
     kind = "doc_id bigint, h binary, samples binary, mass double, size bigint, " + ", ".join(f"b{j} bigint" for j in range(BANDS))
-    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.unhex(F.md5("text")).alias("h"), "text").mapInArrow(run, kind)
+    return docs.mapInArrow(run, kind)
 
 
 def similarity(a: tuple, b: tuple, weights: np.ndarray) -> float:
@@ -195,7 +205,12 @@ def similarity(a: tuple, b: tuple, weights: np.ndarray) -> float:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
-    """pairs(a, b) that are similar. weights is a broadcast of damped idf; equal b lie together, so a leader's shingles are made once a task."""
+    """pairs(a, b) that are similar. weights is a broadcast of damped idf; equal b lie together, so a leader's shingles are made once a task.
+
+    A b of very many pairs is spread over tasks.
+    """
+    pairs = settle(pairs)
+    hot = hot_keys(pairs.groupBy("b").agg(F.count("*").alias("n")), pairs.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, None
@@ -210,7 +225,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataF
                 yield pa.RecordBatch.from_arrays([s.column("a"), s.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     own = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = own.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    both = met(own, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b", hot, ["a"]).select("a", "b", "text_a", "text_b")
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -235,7 +250,7 @@ def grid(members: DataFrame, down: str, across: str) -> tuple[DataFrame, DataFra
     return members.where("outside").withColumns({"asks": F.lit(True), "y": place(down)}).withColumn("x", every(across)), members.withColumns({"asks": F.lit(False), "x": place(across)}).withColumn("y", every(down))
 
 
-def nearest(state: DataFrame, samples: DataFrame) -> DataFrame:
+def nearest(state: DataFrame, samples: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
     """state(bucket, node, label, leader_label) of split buckets, samples(node, samples) -> pairs a < b of different classes.
 
     Of each member outside the leader's class only the pair with the one of another class that agrees most in a cell, the
@@ -244,7 +259,7 @@ def nearest(state: DataFrame, samples: DataFrame) -> DataFrame:
     outside = F.col("label") != F.col("leader_label")
     sizes = state.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(outside).alias("u"))
     cells = lambda c: F.ceil(F.col(c) / CELL).cast("int")
-    members = state.join(samples, "node").join(sizes, "bucket").select("bucket", "node", "label", "samples", outside.alias("outside"), cells("n").alias("across"), cells("u").alias("down"))
+    members = met(state.join(samples, "node"), sizes, "bucket", hot, ["node"]).select("bucket", "node", "label", "samples", outside.alias("outside"), cells("n").alias("across"), cells("u").alias("down"))
     rows, cols = (part.select("bucket", "node", "label", "samples", "asks", "y", "x") for part in grid(members, "down", "across"))
 
     def run(key: tuple, cell: pa.Table) -> pa.Table:
@@ -311,7 +326,7 @@ def links_within(nodes, labels, mass, asks, asked, text, weights: np.ndarray, le
     return out
 
 
-def remaining(state: DataFrame, sizes: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
+def remaining(state: DataFrame, sizes: DataFrame, texts: DataFrame, weights, least: float, hot: list[tuple[int, int]]) -> DataFrame:
     """state(bucket, node, label, leader_label) of split buckets -> similar pairs (a, b) that join all classes which a pair of a bucket joins.
 
     sizes has node, mass, size. Every pair of different classes meets in a cell and is verified there unless the cell has
@@ -324,7 +339,7 @@ def remaining(state: DataFrame, sizes: DataFrame, texts: DataFrame, weights, lea
     of = settle(of.select("bucket", "n", "s", cells("n", "s").alias("across"), cells("u", "us").alias("down")))
     small = of.where("across = 1").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     lots = max(1, (small.n or 0) // CELL, (small.s or 0) // CELL_SHINGLES)
-    placed = members.join(of.select("bucket", "across", "down"), "bucket")
+    placed = met(members, of.select("bucket", "across", "down"), "bucket", hot, ["node"])
     rows, cols = grid(placed.where("across > 1"), "down", "across")
     one = placed.where("across = 1").withColumns({"asks": F.col("outside"), "asked": F.lit(True), "unit": F.pmod(F.xxhash64("bucket"), F.lit(lots)), "y": F.lit(-1), "x": F.lit(-1)})
     names = ["unit", "y", "x", "bucket", "node", "label", "mass", "asks", "asked"]
@@ -355,15 +370,19 @@ def remaining(state: DataFrame, sizes: DataFrame, texts: DataFrame, weights, lea
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """docs(doc_id, text) -> doc_id, class_id: a row each."""
     docs = docs.select("doc_id", "text")
+    hashed = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", digest().alias("h"), "text")
     counts, n = document_counts(docs)
     table_ = damped(idf(counts, max(1, n)))
     weights = docs.sparkSession.sparkContext.broadcast(table_)
-    made = settle(sketches(docs, table_))
+    made = settle(sketches(hashed, table_))
     nodes = settle(made.groupBy("h").agg(F.min("doc_id").alias("node"), *[F.any_value(c).alias(c) for c in ("samples", "mass", "size")], *[F.min(f"b{j}").alias(f"b{j}") for j in range(BANDS)]))
     buckets = nodes.select("node", "mass", F.explode(F.array(*[f"b{j}" for j in range(BANDS)])).alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min(F.struct("node", "mass")).alias("l"), F.max("node").alias("last")).where("l.node < last").select("bucket", F.col("l.node").alias("leader"), F.col("l.mass").alias("leader_mass"))
-    buckets = settle(buckets.join(leaders, "bucket").select("bucket", "node", "leader", can_reach(F.col("mass"), F.col("leader_mass"), least).alias("near")))
-    texts = settle(docs.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    leaders = buckets.groupBy("bucket").agg(F.min(F.struct("node", "mass")).alias("l"), F.max("node").alias("last"), F.count("*").alias("n")).where("l.node < last")
+    leaders = settle(leaders.select("bucket", F.col("l.node").alias("leader"), F.col("l.mass").alias("leader_mass"), "n"))
+    hot = hot_keys(leaders.select("bucket", "n"), leaders.agg(F.sum("n")).first()[0] or 0)  # of all buckets and of any later part of them
+    buckets = settle(met(buckets, leaders.drop("n"), "bucket", hot, ["node"]).select("bucket", "node", "leader", can_reach(F.col("mass"), F.col("leader_mass"), least).alias("near")))
+    wanted = nodes.select(F.col("node").alias("doc_id"), "h").join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = settle(hashed.join(wanted, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).select("doc_id", "text"))
 
     def linked(links: DataFrame, classes: DataFrame | None) -> DataFrame:
         """node, label of what similar pairs join, on top of the classes so far."""
@@ -377,19 +396,20 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     led = buckets.where("node <> leader and near").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     classes = linked(verified(led, texts, weights, least), None)
-    buckets = buckets.drop("near")
+    buckets = buckets.select("bucket", "node")
     for first in (True, False):
         of = lambda c, name, now=classes: now.select(F.col("node").alias(c), F.col("label").alias(name))
-        state = buckets.join(of("node", "label"), "node", "left").join(of("leader", "leader_label"), "leader", "left")
-        state = state.select("bucket", "node", "leader", F.coalesce("label", "node").alias("label"), F.coalesce("leader_label", "leader").alias("leader_label"))
+        heads = leaders.join(of("leader", "leader_label"), "leader", "left").select("bucket", F.coalesce("leader_label", "leader").alias("leader_label"))
+        state = met(buckets.join(of("node", "label"), "node", "left"), heads, "bucket", hot, ["node"])
+        state = state.select("bucket", "node", F.coalesce("label", "node").alias("label"), "leader_label")
         split = state.groupBy("bucket").agg(F.count_if(F.col("label") != F.col("leader_label")).alias("u"), F.count("*").alias("n")).where("u > 0 and n > 2").select("bucket")
-        buckets = settle(state.join(split, "bucket").select("bucket", "node", "leader", "label", "leader_label"))
+        state = settle(met(state, split, "bucket", hot, ["node"]).select("bucket", "node", "label", "leader_label"))
         if first:
-            links = verified(settle(nearest(buckets.drop("leader"), nodes.select("node", "samples"))), texts, weights, least)
+            links = verified(nearest(state, nodes.select("node", "samples"), hot), texts, weights, least)
         else:
-            links = remaining(buckets.drop("leader"), nodes.select("node", "mass", "size"), texts, weights, least)
+            links = remaining(state, nodes.select("node", "mass", "size"), texts, weights, least, hot)
         classes = linked(links, classes)
-        buckets = buckets.select("bucket", "node", "leader")
+        buckets = state.select("bucket", "node")
     by_text = made.select("doc_id", "h").join(nodes.select("h", "node"), "h").join(classes, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("class_id"))
     return docs.select("doc_id").join(by_text, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 

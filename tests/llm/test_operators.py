@@ -226,7 +226,7 @@ def test_near_duplicates(spark):
     base = [words(200, seed=i) for i in range(12)]
     rows = [(i, t, "aa") for i, t in enumerate(base)]
     rows += [(100 + 10 * i + j, near(t, 100 * i + j), "aa") for i, t in enumerate(base[:6]) for j in range(3)]
-    rows += [(300 + i, base[7], "aa") for i in range(4)] + [(400, "two words", "aa"), (401, "two words", "bb"), (402, "two others", "aa"), (403, None, None), (404, "", None), (405, "", None), (None, base[0], None), (0, base[0], "aa")]
+    rows += [(300 + i, base[7], "aa") for i in range(4)] + [(400, "two words", "aa"), (401, "two words", "bb"), (402, "two others", "aa"), (403, None, None), (404, "", None), (405, "", None), (None, base[0], None), (0, base[0], "aa"), (8, base[8], "aa"), (8, base[8], "aa")]
     got = {}
     for r in neardup.near_duplicates(docs(spark, rows)).collect():
         got.setdefault(r.doc_id, set()).add(r.class_id)
@@ -295,6 +295,34 @@ def test_every_pair_of_a_bucket_is_verified_whatever_its_samples_say(spark):
             assert {r.doc_id: r.class_id for r in neardup.near_duplicates(table).collect()} == want
 
 
+def test_pairs_found_by_similarity(spark):
+    """Every pair of texts that share a shingle, by bands of similarity: those of 0.8 or more share a class."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [r for r in table.collect() if r.text]
+    weights = neardup.damped(neardup.idf(*neardup.document_counts(table)))
+    made = [neardup.shingles(r.text) for r in rows]
+    holders = {}
+    for i, (keys, _) in enumerate(made):
+        for k in keys.tolist():
+            holders.setdefault(k, []).append(i)
+    pairs = {p for h in holders.values() if len(h) > 1 for p in itertools.combinations(h, 2)}
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(table).collect()}
+    bands = {}
+    for i, j in pairs:
+        s = neardup.similarity(made[i], made[j], weights)
+        bands.setdefault("copies" if s >= 0.999 else "near" if s >= 0.8 else "below", []).append(found[rows[i].doc_id] == found[rows[j].doc_id])
+    assert all(bands["copies"]) and np.mean(bands["near"]) >= 0.98 and len(bands["copies"]) > 50 and len(bands["near"]) >= 10
+
+
+def test_counters_are_summed_in_a_tree(spark):
+    rows = [(i, words(30, seed=i), "aa") for i in range(90)]
+    want, n = neardup.document_counts(docs(spark, rows).coalesce(1))
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(neardup, "SUMMED", 3)
+        got, m = neardup.document_counts(docs(spark, rows).repartition(30))
+    assert n == m == 90 and (got == want).all() and want.sum() == 90 * 26
+
+
 def test_shared_passage_is_no_near_duplicate(spark):
     passage = words(80, seed=77)
     rows = [(i, passage + " " + words(60, seed=1000 + i), "aa") for i in range(120)]
