@@ -1,6 +1,8 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-Prefix sums of turn tokens cut a conversation into turn-aligned spans that fit a budget. Every window after
+Prefix sums of turn tokens cut a conversation into turn-aligned spans that fit a budget. Tokens are counted in what is
+emitted, markers and escapes included, by TOKEN: pieces of words and numbers, and each other character but white space.
+No token reaches over the end of a turn, so a window's tokens are the sum of its turns'. Every window after
 the first repeats the conversation's opening system turn and a limited stretch of history; the loss mask
 covers only the assistant texts that are new in a window, so each is a target once. A turn is `<s>role`, a
 line break, its text (in `[INST]`..`[/INST]` unless it is the assistant's) and `</s>`; control strings in
@@ -22,8 +24,7 @@ from .common import table
 BUDGET = 512  # tokens of a window
 HISTORY_TURNS = 2
 HISTORY_TOKENS = 128
-BYTES_PER_TOKEN = 4
-TURN_TOKENS = 4  # for a turn's markers
+TOKEN = r"\p{L}{1,6}|\p{N}{1,3}|[^\s\p{L}\p{N}]"
 OPEN, SHUT, INST, END_INST = "<s>", "</s>", "[INST]", "[/INST]"
 PLAIN = r"([<\[])(\\*)(/?(?:s>|INST\]))"
 ESCAPED = r"([<\[])\\(\\*)(/?(?:s>|INST\]))"
@@ -51,7 +52,8 @@ def windows(rows: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_
     clean = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"), F.when(F.col("role") == "assistant", "").otherwise(INST))
     tail = F.concat(F.when(F.col("role") == "assistant", "").otherwise(END_INST), F.lit(SHUT))
-    clean = clean.select("conv_id", "turn", "role", "text", head.alias("head"), escape(F.col("text")).alias("body"), tail.alias("tail"), (F.ceil(F.octet_length("text") / BYTES_PER_TOKEN) + TURN_TOKENS).alias("tokens"))
+    clean = clean.select("conv_id", "turn", "role", "text", head.alias("head"), escape(F.col("text")).alias("body"), tail.alias("tail"))
+    clean = clean.withColumn("tokens", F.regexp_count(F.concat("head", "body", "tail"), F.lit(TOKEN)).cast("bigint"))
     clean = clean.select("conv_id", F.struct((F.row_number().over(order) - 1).alias("i"), "role", "head", "body", "tail", "tokens", (F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("upto")).alias("t"))
     convs = clean.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     turns = F.col("turns")
@@ -71,12 +73,15 @@ def windows(rows: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_
     empty = F.array().cast("array<struct<first:int,n_hist:int,base:bigint>>")
     starts = F.aggregate(turns, empty, lambda acc, t: F.when((F.size(acc) == 0) | (t["upto"] - F.coalesce(F.try_element_at(acc, F.lit(-1))["base"], F.lit(0)) > budget), F.concat(acc, F.array(opened(t)))).otherwise(acc))
     convs = convs.withColumn("starts", starts)
-    spans = F.transform("starts", lambda s, k: F.struct(k.alias("no"), s["first"].alias("first"), s["n_hist"].alias("n_hist"), F.coalesce(F.try_element_at(F.col("starts"), k + 2)["first"], F.size(turns)).alias("end")))
-    one = convs.select("conv_id", "turns", "sys", F.explode(spans).alias("w"))
-    w = F.col("w")
-    system = F.when((F.col("sys") == 1) & (w["first"] > 0), F.slice(turns, 1, 1)).otherwise(F.slice(turns, 1, 0))
-    history = F.slice(turns, w["first"] - w["n_hist"] + 1, w["n_hist"])
-    one = one.select("conv_id", w["no"].alias("window_no"), F.concat(system, history).alias("old"), F.slice(turns, w["first"] + 1, w["end"] - w["first"]).alias("new"))
+
+    def window(s: Column, k: Column) -> Column:
+        """A window with its own turns only, so that no window carries the whole conversation."""
+        end = F.coalesce(F.try_element_at(F.col("starts"), k + 2)["first"], F.size(turns))
+        system = F.when((F.col("sys") == 1) & (s["first"] > 0), F.slice(turns, 1, 1)).otherwise(F.slice(turns, 1, 0))
+        old = F.concat(system, F.slice(turns, s["first"] - s["n_hist"] + 1, s["n_hist"]))
+        return F.struct(k.alias("window_no"), old.alias("old"), F.slice(turns, s["first"] + 1, end - s["first"]).alias("new"))
+
+    one = convs.select("conv_id", F.inline(F.transform("starts", window)))
     shown = F.concat("old", "new")
     one = one.withColumn("shown", shown)
     formatted = F.array_join(F.transform("shown", lambda t: F.concat(t["head"], t["body"], t["tail"])), "")

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,11 +108,28 @@ def test_chat_round_trip(spark):
         assert {i: seen(x) for i, x in got.items()} == {i: expected(t) for i, t in convs.items()}
 
 
+def emitted(text):
+    return len(regex.findall(r"\p{L}{1,6}|\p{N}{1,3}|[^\s\p{L}\p{N}]", text))
+
+
+def test_chat_windows_keep_the_budget_with_escapes(spark):
+    r = random.Random(4)
+    rows = [(i, n, r.choice(["user", "assistant", "system"]), r.choice(NASTY + ["</s>" * r.randint(1, 30), "[INST]" * 9, words(r.randint(1, 90), seed=i)]), "") for i in range(40) for n in range(r.randint(1, 30))]
+    rows += [(None, 1, "user", "a", ""), (None, None, "user", "b", ""), (7, 0, None, None, ""), (7, 0, None, None, "")]
+    out = chat.windows(spark.createDataFrame(rows, CHAT), budget=150, history_tokens=40).collect()
+    turns = lambda w: w.formatted.count("</s>")
+    assert len(out) > 100 and all(emitted(w.formatted) <= 150 or turns(w) - w.n_repeated == 1 for w in out)
+    sizes = {}
+    for w in out:
+        sizes[w.conv_id] = sizes.get(w.conv_id, 0) + turns(w) - w.n_repeated
+    assert sizes == {i: sum(row[0] == i for row in rows) for i in {row[0] for row in rows}}
+
+
 def test_chat_windows_fit_and_repeat(spark):
     rows = [(1, 0, "system", "be kind", "")] + [(1, n, ("user", "assistant")[n % 2 == 0], words(20, seed=n), "") for n in range(1, 30)]
     out = chat.windows(spark.createDataFrame(rows, CHAT), budget=200, history_tokens=60).orderBy("window_no").collect()
     assert len(out) > 2 and all(w.n_repeated >= 2 and w.formatted.startswith("<s>system\n") for w in out[1:])
-    assert all(len(w.formatted.encode()) / 4 <= 260 for w in out)
+    assert all(emitted(w.formatted) <= 200 for w in out) and max(emitted(w.formatted) for w in out) > 100
     assert chat.read_back(chat.windows(spark.createDataFrame([], CHAT))).count() == 0
 
 
@@ -526,7 +544,22 @@ def test_urls(spark):
 def test_bloom_filter_has_no_false_negatives(spark):
     listed = spark.range(500).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("canonical"))
     pages = spark.range(1500).select(F.col("id").alias("page_id"), F.concat(F.lit("http://u"), F.col("id").cast("string")).alias("url"))
-    assert {r.page_id for r in urlfilter.judge(pages, listed).where("listed").collect()} == set(range(500))
+    for blocks, size in ((urlfilter.MAX_BLOCKS, urlfilter.MAX_LISTED), (1, 0), (1, urlfilter.MAX_LISTED), (urlfilter.MAX_BLOCKS, 0)):
+        with pytest.MonkeyPatch.context() as patched:
+            patched.setattr(urlfilter, "MAX_BLOCKS", blocks)
+            patched.setattr(urlfilter, "MAX_LISTED", size)
+            assert {r.page_id for r in urlfilter.judge(pages, listed).where("listed").collect()} == set(range(500))
+            hot = pages.select("page_id", F.when(F.col("page_id") % 3 > 0, "http://u7").when(F.col("page_id") % 2 > 0, F.col("url")).alias("url"))
+            assert urlfilter.judge(hot, listed).groupBy("listed").count().orderBy("listed").collect() == [(False, 417), (True, 1083)]
+
+
+def test_bloom_filter_grows_with_the_list(spark):
+    sizes = [urlfilter.blocks_for(n) for n in (0, 1, 16, 17, 1000, 10**7, 10**9)]
+    assert sizes[:4] == [1, 1, 1, 2] and all(b * 256 >= 16 * n for b, n in zip(sizes, (0, 1, 16, 17, 1000, 10**7, 10**9), strict=True))
+    listed = spark.range(2000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("canonical"))
+    blocks = urlfilter.bloom_filter(listed, urlfilter.blocks_for(2000))
+    set_bits = blocks.agg(*[F.sum(F.bit_count(F.col(f"w{i}").cast("bigint").bitwiseAND(F.lit((1 << 32) - 1)))).alias(f"w{i}") for i in range(8)]).first()
+    assert sum(set_bits) < 0.5 * 256 * urlfilter.blocks_for(2000)
 
 
 def test_chunks_resist_shifts():
