@@ -1,8 +1,10 @@
 """URL filter: domain rules first, then a list of canonical URLs behind a blocked Bloom filter.
 
-The filter has 256-bit blocks of eight 32-bit words; a URL sets one bit in each word of one block. Its size
-is bounded by MAX_BLOCKS whatever the list's length, so it is safe to broadcast; a longer list only lets more
-URLs through to the exact hash join, which removes every false positive. Cases: a null URL or one without
+The filter has 256-bit blocks of eight 32-bit words; a URL sets one bit in each word of one block, and blocks are as
+many as the list asks for. A filter of MAX_BLOCKS or fewer is broadcast; a larger one meets the pages by ranges of
+blocks in a shuffle. Possible hits then go to an exact hash join, which removes every false positive; it broadcasts a
+list of MAX_LISTED bytes or fewer and shuffles a larger one. In both shuffles rows that can't be hits lie anywhere, and
+the rows of one URL are spread over SALTS tasks. Cases: a null URL or one without
 `://` has an empty host and path, fits no rule, is never listed and so is allowed; repeated rows are judged
 each; an empty list blocks nothing; columns other than page_id and url are ignored.
 """
@@ -16,7 +18,9 @@ from .common import settle, table
 
 WORDS = 8
 BITS_PER_URL = 16
-MAX_BLOCKS = 1 << 16  # 2 MiB of filter
+MAX_BLOCKS = 1 << 18  # 8 MiB of filter that are broadcast, at most
+MAX_LISTED = 8 << 20  # bytes of listed URLs that are broadcast, at most
+SALTS = 32
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 #: Verdict, host, path; fixed values.
 RULES = (
@@ -73,27 +77,37 @@ def bloom_filter(listed: DataFrame, n_blocks: int) -> DataFrame:
 
 
 def blocks_for(n: int) -> int:
-    blocks = 1
-    while blocks < MAX_BLOCKS and blocks * 32 * WORDS < n * BITS_PER_URL:
-        blocks *= 2
-    return blocks
+    """A power of two of blocks, BITS_PER_URL bits a URL or more."""
+    return 1 << max(0, -(-n * BITS_PER_URL // (32 * WORDS)) - 1).bit_length()
+
+
+def _looked_up(rows: DataFrame, keyed: DataFrame, key: str, asks: Column, small: bool) -> DataFrame:
+    """rows with the columns of keyed, which has a row a key, where asks holds; broadcast if small, else in a salted shuffle."""
+    wanted = F.when(asks, F.col(key))
+    if small:
+        return rows.withColumn("__key", wanted).join(F.broadcast(keyed.withColumnRenamed(key, "__key")), "__key", "left").drop("__key")
+    salt = F.xxhash64("page_id", "canonical")
+    left = rows.withColumns({"__key": wanted, "__salt": F.when(asks, F.pmod(salt, F.lit(SALTS))).otherwise(salt)})
+    right = keyed.withColumnRenamed(key, "__key").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return left.join(right, ["__key", "__salt"], "left").drop("__key", "__salt")
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """pages(page_id, url), listed(canonical) -> page_id, host, path, rule, verdict, listed."""
     listed = settle(listed.where(F.col("canonical").isNotNull()).select("canonical").distinct())
-    n_blocks = blocks_for(listed.count())
+    n, size = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("canonical") + 16), F.lit(0))).first()
+    n_blocks = blocks_for(n)
+    url = F.col("canonical")
     rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), canonical(F.col("url")).alias("canonical"))
     rows = rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("block", F.pmod(F.xxhash64("canonical"), F.lit(n_blocks)))
-    rows = rows.join(F.broadcast(bloom_filter(listed, n_blocks)), "block", "left")
-    may = F.col("canonical").isNotNull() & F.col("w0").isNotNull()
-    for i, b in enumerate(_bits(F.col("canonical"))):
+    rows = _looked_up(rows, bloom_filter(listed, n_blocks), "block", url.isNotNull(), n_blocks <= MAX_BLOCKS)
+    may = url.isNotNull() & F.col("w0").isNotNull()
+    for i, b in enumerate(_bits(url)):
         may = may & (F.col(f"w{i}").bitwiseAND(b) == b)
     rows = rows.select("page_id", "host", "path", "fit", "canonical", F.coalesce(may, F.lit(False)).alias("may"))
-    hits = rows.where("may").join(listed.withColumn("listed", F.lit(True)), "canonical", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    both = hits.unionByName(rows.where(~F.col("may")).withColumn("listed", F.lit(False)))
+    rows = _looked_up(rows, listed.withColumn("listed", F.lit(True)), "canonical", F.col("may"), size <= MAX_LISTED)
     method = F.when(F.col("listed"), "block").otherwise("allow")
-    return both.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"), "listed")
+    return rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"), F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
 def tracked(pages: DataFrame) -> DataFrame:
