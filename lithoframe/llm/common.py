@@ -41,10 +41,10 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def hot_keys(counts: DataFrame, total: int) -> list[tuple[int, int]]:
-    """counts(key, n) of total rows -> (key, tasks that its rows are spread over), fewer than HOT of them, for met()."""
-    limit = max(1, total // HOT)
-    return [(r[0], -(-r[1] // limit)) for r in counts.where(F.col(counts.columns[1]) > limit).collect()]
+def hot_keys(counts: DataFrame, total: int) -> list[tuple]:
+    """counts(key, n, ...) of at most total rows -> (key, tasks that its rows are spread over, ...), fewer than HOT of them, for met()."""
+    limit = max(1, -(-total // HOT))
+    return [(r[0], -(-r[1] // limit), *r[2:]) for r in counts.where(F.col(counts.columns[1]) > limit).collect()]
 
 
 def met(rows: DataFrame, keyed: DataFrame, key: str, hot: list[tuple[int, int]], by: list[str]) -> DataFrame:

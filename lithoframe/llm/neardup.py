@@ -204,13 +204,11 @@ def similarity(a: tuple, b: tuple, weights: np.ndarray) -> float:
     return low / (total - low) if total > low else 1.0
 
 
-def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, weights, least: float, hot: list[tuple[int, int]]) -> DataFrame:
     """pairs(a, b) that are similar. weights is a broadcast of damped idf; equal b lie together, so a leader's shingles are made once a task.
 
-    A b of very many pairs is spread over tasks.
+    hot names every b of very many pairs, which are spread over tasks.
     """
-    pairs = settle(pairs)
-    hot = hot_keys(pairs.groupBy("b").agg(F.count("*").alias("n")), pairs.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, None
@@ -250,16 +248,24 @@ def grid(members: DataFrame, down: str, across: str) -> tuple[DataFrame, DataFra
     return members.where("outside").withColumns({"asks": F.lit(True), "y": place(down)}).withColumn("x", every(across)), members.withColumns({"asks": F.lit(False), "x": place(across)}).withColumn("y", every(down))
 
 
-def nearest(state: DataFrame, samples: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
-    """state(bucket, node, label, leader_label) of split buckets, samples(node, samples) -> pairs a < b of different classes.
+def split(buckets: DataFrame, classes: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
+    """buckets(bucket, node, mass, size) that span several classes, with label, leader_label (the class of the least node) and
+    the bucket's n members, s shingles, u members and us shingles outside the leader's class. A bucket of two has its one pair verified."""
+    rows = buckets.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = rows.groupBy("bucket", "label").agg(F.min("node").alias("least"), F.count("*").alias("n"), F.sum("size").alias("s"))
+    heads = parts.groupBy("bucket").agg(F.min(F.struct("least", "label", "n", "s")).alias("l"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > 2 and n > l.n")
+    heads = heads.select("bucket", F.col("l.label").alias("leader_label"), "n", "s", (F.col("n") - F.col("l.n")).alias("u"), (F.col("s") - F.col("l.s")).alias("us"))
+    return settle(met(rows, heads, "bucket", hot, ["node"]))
+
+
+def nearest(state: DataFrame, samples: DataFrame) -> DataFrame:
+    """split() buckets, samples(node, samples) -> pairs a < b of different classes.
 
     Of each member outside the leader's class only the pair with the one of another class that agrees most in a cell, the
     smaller on ties. Cells pair CELL members outside with CELL of all members, so no task holds a whole large bucket.
     """
-    outside = F.col("label") != F.col("leader_label")
-    sizes = state.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(outside).alias("u"))
     cells = lambda c: F.ceil(F.col(c) / CELL).cast("int")
-    members = met(state.join(samples, "node"), sizes, "bucket", hot, ["node"]).select("bucket", "node", "label", "samples", outside.alias("outside"), cells("n").alias("across"), cells("u").alias("down"))
+    members = state.join(samples, "node").select("bucket", "node", "label", "samples", (F.col("label") != F.col("leader_label")).alias("outside"), cells("n").alias("across"), cells("u").alias("down"))
     rows, cols = (part.select("bucket", "node", "label", "samples", "asks", "y", "x") for part in grid(members, "down", "across"))
 
     def run(key: tuple, cell: pa.Table) -> pa.Table:
@@ -326,20 +332,16 @@ def links_within(nodes, labels, mass, asks, asked, text, weights: np.ndarray, le
     return out
 
 
-def remaining(state: DataFrame, sizes: DataFrame, texts: DataFrame, weights, least: float, hot: list[tuple[int, int]]) -> DataFrame:
-    """state(bucket, node, label, leader_label) of split buckets -> similar pairs (a, b) that join all classes which a pair of a bucket joins.
+def remaining(state: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
+    """split() buckets -> similar pairs (a, b) that join all classes which a pair of a bucket joins.
 
-    sizes has node, mass, size. Every pair of different classes meets in a cell and is verified there unless the cell has
+    Every pair of different classes meets in a cell and is verified there unless the cell has
     joined the two before. Buckets of one cell are put together in lots of about a cell.
     """
-    outside = F.col("label") != F.col("leader_label")
-    members = state.join(sizes, "node").withColumn("outside", outside)
-    of = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.count_if("outside").alias("u"), F.sum(F.when(F.col("outside"), F.col("size"))).alias("us"))
     cells = lambda n, s: F.ceil(F.greatest(F.col(n) / CELL, F.col(s) / CELL_SHINGLES)).cast("int")
-    of = settle(of.select("bucket", "n", "s", cells("n", "s").alias("across"), cells("u", "us").alias("down")))
-    small = of.where("across = 1").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    lots = max(1, (small.n or 0) // CELL, (small.s or 0) // CELL_SHINGLES)
-    placed = met(members, of.select("bucket", "across", "down"), "bucket", hot, ["node"])
+    placed = state.withColumns({"outside": F.col("label") != F.col("leader_label"), "across": cells("n", "s"), "down": cells("u", "us")})
+    small = placed.where("across = 1").agg(F.count("*").alias("n"), F.sum("size").alias("s")).first()
+    lots = max(1, small.n // CELL, (small.s or 0) // CELL_SHINGLES)
     rows, cols = grid(placed.where("across > 1"), "down", "across")
     one = placed.where("across = 1").withColumns({"asks": F.col("outside"), "asked": F.lit(True), "unit": F.pmod(F.xxhash64("bucket"), F.lit(lots)), "y": F.lit(-1), "x": F.lit(-1)})
     names = ["unit", "y", "x", "bucket", "node", "label", "mass", "asks", "asked"]
@@ -376,11 +378,15 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     weights = docs.sparkSession.sparkContext.broadcast(table_)
     made = settle(sketches(hashed, table_))
     nodes = settle(made.groupBy("h").agg(F.min("doc_id").alias("node"), *[F.any_value(c).alias(c) for c in ("samples", "mass", "size")], *[F.min(f"b{j}").alias(f"b{j}") for j in range(BANDS)]))
-    buckets = nodes.select("node", "mass", F.explode(F.array(*[f"b{j}" for j in range(BANDS)])).alias("bucket"))
+    buckets = nodes.select("node", "mass", "size", F.explode(F.array(*[f"b{j}" for j in range(BANDS)])).alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min(F.struct("node", "mass")).alias("l"), F.max("node").alias("last"), F.count("*").alias("n")).where("l.node < last")
     leaders = settle(leaders.select("bucket", F.col("l.node").alias("leader"), F.col("l.mass").alias("leader_mass"), "n"))
-    hot = hot_keys(leaders.select("bucket", "n"), leaders.agg(F.sum("n")).first()[0] or 0)  # of all buckets and of any later part of them
-    buckets = settle(met(buckets, leaders.drop("n"), "bucket", hot, ["node"]).select("bucket", "node", "leader", can_reach(F.col("mass"), F.col("leader_mass"), least).alias("near")))
+    hot = hot_keys(leaders.select("bucket", "n", "leader"), BANDS * n)  # also of any part of the buckets
+    hot_leaders: dict[int, int] = {}
+    for _, tasks, leader in hot:
+        hot_leaders[leader] = max(tasks, hot_leaders.get(leader, 0))
+    hot = [x[:2] for x in hot]
+    buckets = settle(met(buckets, leaders.drop("n"), "bucket", hot, ["node"]).select("bucket", "node", "mass", "size", "leader", can_reach(F.col("mass"), F.col("leader_mass"), least).alias("near")))
     wanted = nodes.select(F.col("node").alias("doc_id"), "h").join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = settle(hashed.join(wanted, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).select("doc_id", "text"))
 
@@ -395,21 +401,12 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         return settle(moved.unionByName(merged.select(F.col("label").alias("node"), F.col("to").alias("label")).join(classes, "node", "left_anti")))
 
     led = buckets.where("node <> leader and near").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    classes = linked(verified(led, texts, weights, least), None)
-    buckets = buckets.select("bucket", "node")
-    for first in (True, False):
-        of = lambda c, name, now=classes: now.select(F.col("node").alias(c), F.col("label").alias(name))
-        heads = leaders.join(of("leader", "leader_label"), "leader", "left").select("bucket", F.coalesce("leader_label", "leader").alias("leader_label"))
-        state = met(buckets.join(of("node", "label"), "node", "left"), heads, "bucket", hot, ["node"])
-        state = state.select("bucket", "node", F.coalesce("label", "node").alias("label"), "leader_label")
-        split = state.groupBy("bucket").agg(F.count_if(F.col("label") != F.col("leader_label")).alias("u"), F.count("*").alias("n")).where("u > 0 and n > 2").select("bucket")
-        state = settle(met(state, split, "bucket", hot, ["node"]).select("bucket", "node", "label", "leader_label"))
-        if first:
-            links = verified(nearest(state, nodes.select("node", "samples"), hot), texts, weights, least)
-        else:
-            links = remaining(state, nodes.select("node", "mass", "size"), texts, weights, least, hot)
-        classes = linked(links, classes)
-        buckets = state.select("bucket", "node")
+    classes = linked(verified(led, texts, weights, least, list(hot_leaders.items())), None)
+    state = split(buckets.select("bucket", "node", "mass", "size"), classes, hot)
+    pairs = settle(nearest(state, nodes.select("node", "samples")))
+    classes = linked(verified(pairs, texts, weights, least, hot_keys(pairs.groupBy("b").agg(F.count("*").alias("n")), pairs.count())), classes)
+    state = split(state.select("bucket", "node", "mass", "size"), classes, hot)
+    classes = linked(remaining(state, texts, weights, least), classes)
     by_text = made.select("doc_id", "h").join(nodes.select("h", "node"), "h").join(classes, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("class_id"))
     return docs.select("doc_id").join(by_text, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
