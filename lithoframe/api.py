@@ -15,9 +15,12 @@ from .operators import blocks as B
 from .operators import history as Y
 from .operators import leases as L
 from .operators import log as G
+from .operators import maintenance as X
 from .operators import prefix as P
 from .operators import state_reads as R
 
+STATE = ("agents", "bindings", "edges", "refs", "requirements", "revisions", "fences")
+
 
 class Engine:
     def __init__(self, spark: SparkSession, root: str, cluster: str = "main"):
@@ -61,12 +64,28 @@ class Engine:
         return self._read("log", S.MUTATIONS)
 
     def append(self, mutations: DataFrame) -> None:
-        """Append entries, of which absent columns are null; answers() says what became of each."""
+        """Append entries, of which absent columns are null; answers() says what became of each.
+
+        Chain entries hold links, an array of (key, blocks, parent), and are stored as a bind row a link.
+        """
+        if "links" in mutations.columns:
+            mutations = G.expanded(mutations.withColumns({c: F.lit(None) for c in ("key", "blocks", "parent") if c not in mutations.columns}).withColumn("sub", F.lit(0).cast("bigint")))
         names = [c.strip().split()[0] for c in S.MUTATIONS.replace("array<string>", "list").split(",")]
         kinds = dict(self.spark.createDataFrame([], S.MUTATIONS).dtypes)
         full = mutations.select(*[(F.col(n) if n in mutations.columns else F.lit(0 if n == "sub" else None)).cast(kinds[n]).alias(n) for n in names])
         full.write.mode("append").parquet(f"{self.root}/log")
 
+    def bind(self, mutations: DataFrame) -> DataFrame:
+        """Append bind, chain and commit entries whose blocks are all stored; log_index, first_missing of the others, which are not appended."""
+        links = F.col("links") if "links" in mutations.columns else F.lit(None).cast("array<struct<blocks:array<string>>>")
+        own = F.col("blocks") if "blocks" in mutations.columns else F.lit(None).cast("array<string>")
+        named = F.coalesce(F.concat(F.coalesce(own, F.array().cast("array<string>")), F.flatten(F.coalesce(F.transform(links, lambda x: x["blocks"]), F.array().cast("array<array<string>>")))))
+        checked = B.bind_check(mutations.select(F.col("log_index").alias("bind_id"), named.alias("blocks")), self.blocks())
+        bad = checked.where("not accepted").select(F.col("bind_id").alias("log_index"), "first_missing")
+        bad = self.spark.createDataFrame(bad.toArrow(), "log_index bigint, first_missing string")  # entries of one call
+        self.append(mutations.join(bad, "log_index", "left_anti"))
+        return bad
+
     def _clustered(self) -> DataFrame:
         return self.log().withColumn("cluster", F.lit(self.cluster))
 
@@ -76,7 +95,7 @@ class Engine:
         return G.responses(mine.where(~F.col("kind").isin(*L.MOVES))).unionByName(L.fold(self._clustered()).select("log_index", "status", "reason"))
 
     def state(self, activated_at: int | None = None) -> G.State:
-        return G.materialize(self.log(), activated_at)
+        return G.materialize(self.log(), activated_at, capped=True)
 
     def leases(self) -> DataFrame:
         return L.leases(self._clustered()).drop("cluster")
@@ -116,8 +135,37 @@ class Engine:
         s = self.state()
         return R.reclamation_evidence(wanted, s.refs, s.requirements, s.fences, self.leases())
 
+    def pins(self, agent: str, min_refs: int = 2) -> DataFrame:
+        """Blocks of an agent's bindings that enough bindings share."""
+        s = self.state()
+        return R.pin_wanted(R.bindings_of(s.bindings, F.lit(agent)), s.refs, min_refs)
+
+    def history(self, turns: DataFrame, cleared: int = 0) -> DataFrame:
+        """turns(session, index, role, content) -> the chain of each session: keys, parents, blocks."""
+        return Y.history_chain(turns, cleared)
+
+    def expiry_work(self) -> DataFrame:
+        return R.expiry_work(self.leases(), F.lit(self.clock()))
+
+    def clock(self) -> int:
+        last = L.leases(self._clustered()).agg(F.max("clock").alias("c")).first()
+        return last.c or 0
+
     def snapshot(self, path: str) -> None:
-        """Write every state table, parts before what refers to them."""
+        """Write every state table, parts before what refers to them, the leases and, last, the clock and the last entry."""
         s = self.state()
-        for name in ("agents", "bindings", "edges", "refs", "requirements", "revisions", "fences"):
+        for name in STATE:
             getattr(s, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        self.leases().write.mode("overwrite").parquet(f"{path}/leases")
+        last = self.log().agg(F.max("log_index").alias("last_applied")).withColumn("clock", F.lit(self.clock()).cast("bigint"))
+        last.write.mode("overwrite").parquet(f"{path}/meta")
+
+    def restore(self, path: str) -> tuple[G.State, DataFrame]:
+        """The state and leases of a snapshot; a snapshot that breaks a rule is refused."""
+        meta = self.spark.read.parquet(f"{path}/meta").first()
+        state = G.State(*[self.spark.read.parquet(f"{path}/{name}") for name in STATE])
+        leases = self.spark.read.schema(f"clock bigint, {S.LEASES}").parquet(f"{path}/leases")
+        broken = X.snapshot_violations(state, leases, meta.last_applied or 0, meta.clock).limit(1).collect()
+        if broken:
+            raise ValueError(f"snapshot breaks {broken[0].rule}: {broken[0].subject}")
+        return state, leases

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIB = 1024 * 1024
@@ -36,19 +36,27 @@ def percentile_linear(x: Column, p: float) -> Column:
     return F.percentile(x, F.lit(p))
 
 
-def _ranked(x: Column, at: Column) -> Column:
-    return F.element_at(F.array_sort(F.collect_list(x)), at)
+def rounded_place(p: float):
+    """Index round((n - 1) * p), halves up."""
+    return lambda n: F.floor((n - 1) * F.lit(p) + 0.5)
 
 
-def percentile_rounded(x: Column, p: float) -> Column:
-    """The value at index round((n - 1) * p), halves up. For bounded sample sets: the values of a group meet in a row."""
-    return _ranked(x, (F.floor((F.count(x) - 1) * F.lit(p) + 0.5) + 1).cast("int"))
+def truncated_place(p: float):
+    """Index floor(n * p) - 1; index -1 is the last value."""
+    return lambda n: F.when(F.floor(n * F.lit(p)) == 0, n - 1).otherwise(F.floor(n * F.lit(p)) - 1)
 
 
-def percentile_truncated(x: Column, p: float) -> Column:
-    """The value at index floor(n * p) - 1; index -1 is the last value."""
-    i = F.floor(F.count(x) * F.lit(p)).cast("int")
-    return _ranked(x, F.when(i == 0, -1).otherwise(i))
+def ranked(df: DataFrame, x: str, by: list[str], places: dict) -> DataFrame:
+    """by and, for each name of places, the value whose index in its group's order is place(n).
+
+    Equal values are counted before any order is made, and running counts find the place, so no group meets in a row.
+    """
+    key = [F.lit(0).alias("__all")] if not by else [F.col(c) for c in by]
+    counts = df.where(F.col(x).isNotNull()).groupBy(*key, F.col(x).alias("__x")).agg(F.count("*").alias("__k"))
+    names = by or ["__all"]
+    upto = Window.partitionBy(*names).orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumns({"__upto": F.sum("__k").over(upto), "__n": F.sum("__k").over(Window.partitionBy(*names))})
+    return placed.groupBy(*names).agg(*[F.min(F.when(F.col("__upto") > place(F.col("__n")), F.col("__x"))).alias(name) for name, place in places.items()]).drop("__all")
 
 
 def summarize(df: DataFrame, x: str, by: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,16 +106,73 @@ def with_leases(mutations: DataFrame) -> tuple[DataFrame, int | None]:
     return mutations.unionByName(found.where("kind <> 'activate'"), allowMissingColumns=True), first.at
 
 
-def materialize(mutations: DataFrame, activated_at: int | None = None) -> State:
-    """activated_at: the log index of the first valid lease, from which revisions count; the log's own if it has leases."""
+def capacity_rejections(mutations: DataFrame, most_required: int = S.MAX_REQUIREMENTS, most_fenced: int = S.MAX_BLOCK_FENCES) -> DataFrame:
+    """log_index, reason of the requests that would take the fenced or required blocks over their limits, in log order.
+
+    A request counts as a whole, a chain with all its links. The blocks that a bind replaces are fenced already, so only
+    its own can be new. One task folds the log in order, over batches, and holds as many ids as the limits allow.
+    Effects of lease entries (see with_leases) count as binds and touches; the lease fold has judged them before.
+    """
+    kinds = ("bind", "touch", "require")
+    rows = mutations.where(F.col("kind").isin(*kinds)).select("log_index", "sub", "kind", "blocks", "replicas")
+
+    def run(batches):
+        fenced, required = set(), set()
+        last, mine, kind, replicas = None, [], None, None
+
+        def judged():
+            new = {x for x in mine if x not in fenced}
+            if len(fenced) + len(new) > most_fenced:
+                return "block fence capacity exhausted"
+            if kind == "require":
+                if not (replicas is not None and S.REPLICAS[0] <= replicas <= S.REPLICAS[1] and len(mine) <= S.MAX_REQUIREMENT_BATCH):
+                    return None  # rejected, as responses() says
+                if len(required) + len({x for x in mine if x not in required}) > most_required:
+                    return "replica requirement capacity exhausted"
+                required.update(mine)
+            fenced.update(new)
+            return None
+
+        def table(out):
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string())], names=["log_index", "reason"])
+
+        for b in batches:
+            out = []
+            for at, kind_, blocks, n in zip(*(b.column(c).to_pylist() for c in ("log_index", "kind", "blocks", "replicas")), strict=True):
+                if at != last:
+                    if last is not None and (why := judged()):
+                        out.append((last, why))
+                    last, mine, kind, replicas = at, [], kind_, n
+                mine += blocks or []
+            yield table(out)
+        if last is not None and (why := judged()):
+            yield table([(last, why)])
+
+    return rows.repartition(1).sortWithinPartitions("log_index", "sub").mapInArrow(run, "log_index bigint, reason string")
+
+
+def materialize(mutations: DataFrame, activated_at: int | None = None, capped: bool = False) -> State:
+    """activated_at: the log index of the first valid lease, from which revisions count; the log's own if it has leases.
+
+    capped: count the limited parts, and where one is over its limit leave out the requests that log order rejects.
+    """
     mutations, own = with_leases(mutations)
     activated_at = own if activated_at is None else activated_at
-    bound = bindings(mutations)
-    return State(agents(mutations), bound, edges(mutations), block_refs(bound), replica_requirements(mutations), revisions(mutations, activated_at), block_fences(mutations))
+
+    def made(rows: DataFrame) -> State:
+        bound = bindings(rows)
+        return State(agents(rows), bound, edges(rows), block_refs(bound), replica_requirements(rows), revisions(rows, activated_at), block_fences(rows))
+
+    state = made(mutations)
+    few = min(S.MAX_REQUIREMENTS, S.MAX_BLOCK_FENCES)  # a log that names no more blocks than this is under every limit
+    named = mutations.where(F.col("kind").isin("bind", "touch", "require")).select(F.explode("blocks").alias("block_id")).distinct()
+    if capped and named.limit(few + 1).count() > few and over_capacity(state).limit(1).count():
+        state = made(mutations.join(capacity_rejections(mutations).select("log_index"), "log_index", "left_anti"))
+    return state
 
 
 def over_capacity(state: State) -> DataFrame:
-    """part, n, most for each part that has reached a limit; then log order decides and the fold must be used."""
+    """part, n, most for each part over its limit; then log order decides, see capacity_rejections()."""
     sizes = [(state.requirements, "requirements", S.MAX_REQUIREMENTS), (state.fences, "fences", S.MAX_BLOCK_FENCES)]
     rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n", F.lit(most).cast("bigint").alias("most")) for df, name, most in sizes]
-    return rows[0].unionByName(rows[1]).where("n >= most")
+    return rows[0].unionByName(rows[1]).where("n > most")

@@ -42,14 +42,20 @@ def parent_index(edges: DataFrame) -> DataFrame:
     return edges.groupBy("child_key").agg(F.max(F.struct("last_log_index", "parent_key")).alias("p")).select("child_key", F.col("p.parent_key").alias("parent_key"))
 
 
-def lineage(edges: DataFrame, leaf_keys: DataFrame, most: int = 10_000) -> DataFrame:
-    """leaf, step, key: every key from each of leaf_keys(key) up to its root; a walk over (leaf, key) pairs, a level at a time in SQL."""
+def lineage(edges: DataFrame, leaf_keys: DataFrame) -> DataFrame:
+    """leaf, step, key: every key from each of leaf_keys(key) up to its root, by doubling.
+
+    Hops of 1, 2, 4 .. steps are joined once each, so a chain of n keys takes log2(n) rounds, each of them settled.
+    """
     spark = edges.sparkSession
-    up, leaves = "lineage_up", "lineage_leaves"
-    parent_index(edges).createOrReplaceTempView(up)
-    leaf_keys.createOrReplaceTempView(leaves)
-    return spark.sql(f"""
-        WITH RECURSIVE walk(leaf, step, key) MAX RECURSION LEVEL {most} AS (
-            SELECT key, 0, key FROM {leaves}
-            UNION ALL SELECT leaf, step + 1, parent_key FROM walk JOIN {up} ON key = child_key)
-        SELECT * FROM walk""")
+    settled = lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+    hop = settled(parent_index(edges).select(F.col("child_key").alias("key"), F.col("parent_key").alias("up")))
+    walked, size = settled(leaf_keys.select(F.col("key").alias("leaf"), F.lit(0).alias("step"), "key")), 1
+    while True:
+        # the walk holds steps 0 .. size - 1 of every leaf; a hop goes size steps up
+        further = walked.join(hop, "key").select("leaf", (F.col("step") + size).alias("step"), F.col("up").alias("key"))
+        grown = settled(walked.unionByName(further))
+        if grown.count() == walked.count():
+            return walked
+        hop = settled(hop.join(hop.select(F.col("key").alias("up"), F.col("up").alias("next")), "up").select("key", F.col("next").alias("up")))
+        walked, size = grown, 2 * size

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +86,14 @@ def reclamation_evidence(blocks: DataFrame, refs: DataFrame, requirements: DataF
     return out.select("block_id", zero("refs", "binding_references"), zero("replicas", "required_replicas"), "block_reference_fence", *[zero(k, k) for k in kinds])
 
 
+def reclamation_observation(blocks: DataFrame, refs: DataFrame, requirements: DataFrame, fences: DataFrame, leases: DataFrame, guards: DataFrame, presence: DataFrame) -> DataFrame:
+    """reclamation_evidence() with the local guard's generation and what a read of the block found: ok, corrupt, not_found or unknown."""
+    out = reclamation_evidence(blocks, refs, requirements, fences, leases)
+    found = presence.select("block_id", F.col("status").alias("presence"))
+    out = out.join(guards.select("block_id", "local_generation"), "block_id", "left").join(found, "block_id", "left")
+    return out.withColumns({"guarded": F.col("local_generation").isNotNull(), "presence": F.coalesce("presence", F.lit("unknown"))})
+
+
 def reclamation_blockers(observed: DataFrame) -> DataFrame:
     """observed, with want_* columns for the expected fences -> block_id, observed_fences_match, reclaimable, blockers.
 
@@ -155,13 +164,47 @@ def stats_payload(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def observe_locations(observations: DataFrame, per_block: int = 16) -> DataFrame:
-    """observations(at, block_id, node, generation) -> block_id, node, generation as last seen.
+def observe_locations(observations: DataFrame, required: DataFrame, per_block: int = 16) -> DataFrame:
+    """observations(at, block_id, node, generation), required(block_id) -> block_id, node, generation as known in the end.
 
-    A node's new generation voids what it held before, for all blocks; beyond per_block nodes the highest numbers stay.
+    A node's new generation voids what it held before, for all blocks; a null one forgets the node for the block. At
+    per_block nodes a new one displaces the lowest that is present. Blocks without a requirement are not recorded.
+    The displacement depends on order, so a block's observations are folded in turn, over batches; what the fold keeps
+    is per_block nodes.
     """
-    latest = observations.where("generation is not null").groupBy("node").agg(F.max_by("generation", "at").alias("current"))
-    last = observations.where("block_id is not null").groupBy("block_id", "node").agg(F.max(F.struct("at", "generation")).alias("o")).select("block_id", "node", F.col("o.generation").alias("generation"))
-    held = last.join(latest, "node").where("generation = current").select("block_id", "node", "generation")
-    order = Window.partitionBy("block_id").orderBy(F.col("node").desc())
-    return held.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_block).drop("r")
+    known = observations.where("generation is not null")
+    order = Window.partitionBy("node").orderBy("at", "block_id")
+    turns = known.withColumn("old", F.lag("generation").over(order)).where("old <> generation").select("node", F.col("at").alias("turn"), F.col("generation").alias("new"))
+    mine = observations.where(F.col("block_id").isNotNull()).join(required.select("block_id").distinct(), "block_id", "left_semi")
+    spans = mine.where("generation is not null").groupBy("block_id", "node").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    voids = spans.join(turns, (spans.node == turns.node) & (turns.turn > spans["first"])).select(F.col("turn").alias("at"), F.lit(0).alias("step"), "block_id", spans.node, F.col("new").alias("generation"))
+    steps = voids.unionByName(mine.select("at", F.lit(1).alias("step"), "block_id", "node", "generation")).select("block_id", "at", "step", "node", "generation")
+
+    def run(batches):
+        block, held = None, {}
+
+        def rows():
+            return [(block, n, g) for n, g in sorted(held.items())]
+
+        def table(out):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["block_id", "node", "generation"])
+
+        for b in batches:
+            out = []
+            for b_, step, node, generation in zip(*(b.column(c).to_pylist() for c in ("block_id", "step", "node", "generation")), strict=True):
+                if b_ != block:
+                    out += rows()
+                    block, held = b_, {}
+                if step == 0:
+                    if held.get(node, generation) != generation:
+                        del held[node]
+                elif generation is None:
+                    held.pop(node, None)
+                else:
+                    if node not in held and len(held) >= per_block:
+                        del held[min(held)]
+                    held[node] = generation
+            yield table(out)
+        yield table(rows())
+
+    return steps.repartition("block_id").sortWithinPartitions("block_id", "at", "step", "node").mapInArrow(run, "block_id string, node bigint, generation string")

@@ -218,7 +218,7 @@ def replicas_parsed(spark, d) -> DataFrame:
     return I.table(spark, d, "events").select("event_id", H.parse_replicas(whole).alias("replicas"), F.concat(F.lit("x"), whole).alias("raw"))
 
 
-@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) >= 1024 THEN printf('%.1f KiB', octet_length(encode(text)) / 1024.0) ELSE octet_length(encode(text)) || ' B' END AS size, sha256(text)[1:8] AS short FROM documents")
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) >= 1024 THEN printf('%.1f KiB', floor(octet_length(encode(text)) / 1024.0 * 10 + 0.5) / 10) ELSE octet_length(encode(text)) || ' B' END AS size, sha256(text)[1:8] AS short FROM documents")
 def short_forms(spark, d) -> DataFrame:
     return I.table(spark, d, "documents").select("doc_id", H.format_bytes(F.octet_length("text")).alias("size"), H.short_id(F.sha2("text", 256)).alias("short"))
 
@@ -334,10 +334,12 @@ def pin_shared(spark, d) -> DataFrame:
     return R.pin_wanted(bound, G.block_refs(bound), 4)
 
 
-@query(f"WITH {I.LOG} SELECT agent, count(*) AS bindings, max(log_index) AS last_bound FROM bindings GROUP BY agent")
+@query(f"WITH {I.LOG} SELECT key, array_to_string(blocks, ',') AS blocks, log_index FROM bindings WHERE agent = (SELECT agent FROM bindings GROUP BY agent ORDER BY count(*) DESC, agent LIMIT 1)")
 def bindings_of_agent(spark, d) -> DataFrame:
+    """Of the agent that owns most keys."""
     bound = G.bindings(I.log(spark, d))
-    return R.bindings_of(bound, F.col("agent")).groupBy("agent").agg(F.count("*").alias("bindings"), F.max("log_index").alias("last_bound"))
+    owner = bound.groupBy("agent").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "agent").first()
+    return R.bindings_of(bound, F.lit(owner.agent if owner else None)).select("key", joined("blocks"), "log_index")
 
 
 @query(f"WITH {I.LOG} SELECT b.key, b.agent, array_to_string(b.blocks, ',') AS blocks, coalesce(revision, 0) AS revision, parent_key AS extends FROM bindings b LEFT JOIN revisions r USING (key) LEFT JOIN parents p ON p.child_key = b.key")
@@ -353,13 +355,6 @@ def agents_list(spark, d) -> DataFrame:
     return R.agents_list(R.agents_with_counts(G.agents(log), G.bindings(log)))
 
 
-@query(f"WITH {I.LOG}, {I.INDEX} SELECT (SELECT count(*) FROM sized) AS blocks, (SELECT count(DISTINCT segment) FROM sized) AS segments, (SELECT CAST(sum(record_len) AS BIGINT) FROM sized) AS bytes, (SELECT count(*) FROM agents) AS agents, (SELECT count(*) FROM bindings) AS bindings")
-def stats_payload(spark, d) -> DataFrame:
-    log = I.log(spark, d)
-    parts = {"data": B.store_stats(I.index(spark, d)), "agents": G.agents(log).agg(F.count("*").alias("agents")), "bindings": G.bindings(log).agg(F.count("*").alias("bindings"))}
-    return R.stats_payload(parts).select("data.*", "agents.agents", "bindings.bindings")
-
-
 @query(f"WITH {I.LEASES} SELECT count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'committed') AS committed, count(*) FILTER (status = 'cancelled') AS cancelled, count(*) FILTER (status = 'expired') AS expired, count(expired_at) AS expiry_markers, 20 AS current_tick FROM leases")
 def lease_counts(spark, d) -> DataFrame:
     return R.lease_counts(I.leases(spark, d), F.lit(I.CLOCK))
@@ -458,16 +453,6 @@ def replication_lag(spark, d) -> DataFrame:
     return R.replication_lag(matched.join(F.broadcast(last)), F.col("last"))
 
 
-@query(f"""WITH o AS (SELECT event_id AS i, CAST(event_id % 53 AS VARCHAR) AS block_id, user_id AS node, CASE WHEN event_type <> 'error' THEN 'g' || (event_id // 5000) END AS generation FROM events),
-cur AS (SELECT node, arg_max(generation, i) AS current FROM o WHERE generation IS NOT NULL GROUP BY node),
-last AS (SELECT block_id, node, max(i) AS i FROM o GROUP BY ALL), seen AS (SELECT o.block_id, o.node, o.generation FROM o JOIN last USING (block_id, node, i))
-SELECT block_id, node, generation FROM (SELECT s.*, row_number() OVER (PARTITION BY block_id ORDER BY node DESC) AS r FROM seen s JOIN cur USING (node) WHERE generation = current) WHERE r <= 16""")
-def location_observation(spark, d) -> DataFrame:
-    e = F.col("event_id")
-    seen = I.table(spark, d, "events").select(e.alias("at"), (e % 53).cast("string").alias("block_id"), F.col("user_id").alias("node"), F.when(F.col("event_type") != "error", F.concat(F.lit("g"), F.floor(e / 5000).cast("string"))).alias("generation"))
-    return R.observe_locations(seen)
-
-
 @query("SELECT user_id AS node FROM (SELECT DISTINCT user_id FROM events) WHERE user_id <> 3")
 def peer_nodes(spark, d) -> DataFrame:
     return R.peers_of(I.table(spark, d, "events").select(F.col("user_id").alias("node")).distinct(), 3)
@@ -556,12 +541,12 @@ RANKED = "WITH r AS (SELECT event_type, list_sort(list(value)) AS v FROM events
 
 @query(RANKED + " SELECT event_type, v[CAST(floor((len(v) - 1) * 0.5 + 0.5) AS INTEGER) + 1] AS p50, v[CAST(floor((len(v) - 1) * 0.99 + 0.5) AS INTEGER) + 1] AS p99 FROM r")
 def latency_rounded(spark, d) -> DataFrame:
-    return I.table(spark, d, "events").groupBy("event_type").agg(M.percentile_rounded(F.col("value"), 0.5).alias("p50"), M.percentile_rounded(F.col("value"), 0.99).alias("p99"))
+    return M.ranked(I.table(spark, d, "events"), "value", ["event_type"], {"p50": M.rounded_place(0.5), "p99": M.rounded_place(0.99)})
 
 
 @query(RANKED + " SELECT event_type, v[CASE WHEN floor(len(v) * 0.99) = 0 THEN len(v) ELSE CAST(floor(len(v) * 0.99) AS INTEGER) END] AS p99 FROM r")
 def latency_truncated(spark, d) -> DataFrame:
-    return I.table(spark, d, "events").groupBy("event_type").agg(M.percentile_truncated(F.col("value"), 0.99).alias("p99"))
+    return M.ranked(I.table(spark, d, "events"), "value", ["event_type"], {"p99": M.truncated_place(0.99)})
 
 
 @query("SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 3) AS p50, round(quantile_cont(value, 0.95), 3) AS p95, round(quantile_cont(value, 0.99), 3) AS p99, round(avg(value), 3) AS mean, round(max(value), 3) AS max FROM events GROUP BY event_type")
@@ -569,14 +554,7 @@ def latency_summary(spark, d) -> DataFrame:
     return M.summarize(I.table(spark, d, "events"), "value", ["event_type"])
 
 
-@query(f"""WITH {I.LOG}, {I.INDEX}, s AS (SELECT unnest([(0, 'blocks', 'Stored blocks', (SELECT count(*) FROM sized)), (1, 'segments', 'Segment files', (SELECT count(DISTINCT segment) FROM sized)),
-    (16, 'agents', 'Registered agents', (SELECT count(*) FROM agents)), (17, 'bindings', 'Bound keys', (SELECT count(*) FROM bindings))]) AS m)
-SELECT m[1] * 3 + i AS position, CASE i WHEN 0 THEN '# HELP engine_' || m[2] || ' ' || m[3] WHEN 1 THEN '# TYPE engine_' || m[2] || ' gauge' ELSE 'engine_' || m[2] || ' ' || m[4] END AS line FROM s, (SELECT unnest([0, 1, 2]) AS i)""")
-def prometheus_lines(spark, d) -> DataFrame:
-    return M.metric_lines(stats_payload(spark, d).drop("bytes"))
-
-
-# Folds and binary formats: no SQL form; tests hold them against models and golden vectors
+# Folds and binary formats; those without SQL are held against models and golden vectors in tests
 
 
 def _frames(spark, d) -> DataFrame:
@@ -589,16 +567,12 @@ def _frames(spark, d) -> DataFrame:
     return I.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.when(F.col("lang") == "de", F.substring(f, 1, 11)).otherwise(f).alias("frame"))
 
 
-@query()
+@query("""SELECT CAST(doc_id AS VARCHAR) AS name, pos, CASE pos WHEN 0 THEN octet_length(encode(lang)) WHEN 1 THEN octet_length(encode(source)) ELSE octet_length(encode(text)) END AS n, NULL AS error
+FROM documents, (SELECT unnest([0, 1, 2]) AS pos) WHERE lang <> 'de' UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, 'truncated block length' FROM documents WHERE lang = 'de'""")
 def batch_frame_parse(spark, d) -> DataFrame:
     return J.batch_frames(_frames(spark, d)).select("name", "pos", F.length("payload").alias("n"), "error")
 
 
-@query()
-def segment_roll(spark, d) -> DataFrame:
-    return Z.roll(I.payloads(spark, d).select(F.col("source").alias("store"), "pos", F.length("payload").cast("bigint").alias("payload_len")), 1 << 16)
-
-
 def _segments(spark, d) -> DataFrame:
     """A segment of two records for each document; German ones have a flipped byte."""
     @F.pandas_udf(BinaryType())
@@ -613,10 +587,12 @@ def _segments(spark, d) -> DataFrame:
     return I.table(spark, d, "documents").select(F.col("doc_id").cast("int").alias("segment"), record("text", F.col("lang") == "de").alias("content"))
 
 
-@query("SELECT CAST(doc_id AS INTEGER) AS segment, 0 AS \"offset\", 'payload_hash_mismatch' AS kind, sha256(text) AS block_id FROM documents WHERE lang = 'de'")
+@query("""WITH p AS (SELECT CAST(doc_id AS INTEGER) AS segment, sha256(text) AS h, CAST(ceil((octet_length(encode(text)) + 64) / 4096.0) AS BIGINT) AS pages FROM documents WHERE lang = 'de' AND octet_length(encode(text)) > 0)
+SELECT segment, 0 AS "offset", 'payload_hash_mismatch' AS kind, h AS block_id FROM p
+UNION ALL SELECT segment, i * 4096, 'invalid_header', NULL FROM (SELECT segment, unnest(range(1, pages)) AS i FROM p)""")
 def scrub_findings(spark, d) -> DataFrame:
-    found = Z.scrub(_segments(spark, d), "sha256")
-    return found.where("kind = 'payload_hash_mismatch'")
+    """A damaged record's length is not trusted, so its later pages are findings too."""
+    return Z.scrub(_segments(spark, d), "sha256")
 
 
 @query("""WITH p AS (SELECT CAST(doc_id AS INTEGER) AS segment, sha256(text) AS a, octet_length(encode(text)) AS n, sha256('second ' || text) AS b FROM documents)
@@ -646,12 +622,6 @@ def lease_status(spark, d) -> DataFrame:
     return L.leases(_lease_log(spark, d)).groupBy("cluster", "clock", "status").agg(F.count("*").alias("n"))
 
 
-@query()
-def pin_greedy(spark, d) -> DataFrame:
-    p = I.payloads(spark, d).select(F.col("source").alias("tier"), "pos", H.block_id(F.col("payload")).alias("block_id"), F.length("payload").cast("bigint").alias("payload_len"))
-    return T.pin_greedy(p, 1 << 17)
-
-
 def _accesses(spark, d) -> DataFrame:
     e = F.col("event_id")
     return I.table(spark, d, "events").select(F.col("user_id").cast("string").alias("tier"), e.alias("pos"), (e % 31).cast("string").alias("block_id"), (1000 + e % 31).alias("payload_len"), (e % 31 < 2).alias("pinned"), (e % 31 == 30).alias("quarantined"))
@@ -665,10 +635,3 @@ def tier_outcomes(spark, d) -> DataFrame:
 @query()
 def tier_stats(spark, d) -> DataFrame:
     return T.tier_stats(T.simulate(_accesses(spark, d), 8000))
-
-
-@query(f"WITH {I.LOG} SELECT 'owner_not_registered' AS rule, lease AS subject FROM (SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS lease, CAST(user_id AS VARCHAR) AS agent FROM events WHERE event_type = 'view') WHERE agent NOT IN (SELECT agent FROM agents)")
-def snapshot_violations(spark, d) -> DataFrame:
-    state = G.materialize(I.log(spark, d), I.ACTIVATED_AT)
-    found = X.snapshot_violations(state, I.leases(spark, d), 1 << 40, I.CLOCK)
-    return found.where("rule = 'owner_not_registered'")

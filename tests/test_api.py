@@ -1,6 +1,11 @@
 """The client workflow from end to end, and the registered queries against their SQL."""
 
 import importlib.util
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -8,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lithoframe.api import Engine
-from lithoframe.plans import catalog
+from lithoframe.plans import catalog, records  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
@@ -44,7 +49,7 @@ def plain(v):
     return round(v, 9) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["longest_prefix_lookup", "lookup_blocks", "prefetch_set", "fences_state", "reclamation_blockers", "history_replay", "matched_tokens", "latency_rounded", "prometheus_lines", "compacted_index", "key_lineage"])
+@pytest.mark.parametrize("name", ["longest_prefix_lookup", "lookup_blocks", "prefetch_set", "fences_state", "reclamation_blockers", "history_replay", "matched_tokens", "latency_rounded", "prometheus_lines", "compacted_index", "key_lineage", "snapshot_violations", "retention_protect", "stats_payload", "log_entries_kept", "segment_roll", "batch_frame_parse", "short_forms"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
@@ -56,6 +61,45 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(map(repr, (tuple(map(plain, r)) for r in got.collect()))) == want
 
 
+def test_chains_and_checked_binds(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"))
+    ids = {r.pos: r.block_id for r in e.put_many(spark.createDataFrame([(0, b"x"), (1, b"y")], "pos long, payload binary")).collect()}
+    link = "array<struct<key:string,blocks:array<string>,parent:string>>"
+    chain = [(2, "bind_chain", "a", [("k", [ids[0]], None), ("l", [ids[0], ids[1]], "k")]), (3, "bind_chain", "a", [("m", [ids[0]], None), ("n", ["gone"], "m")])]
+    gone = e.bind(spark.createDataFrame(chain, f"log_index long, kind string, agent string, links {link}")).collect()
+    assert [(r.log_index, r.first_missing) for r in gone] == [(3, "gone")]
+    gone = e.bind(spark.createDataFrame([(4, "bind", "a", "o", [ids[1]]), (5, "bind", "a", "p", [ids[1], "none"])], "log_index long, kind string, agent string, key string, blocks array<string>")).collect()
+    assert [r.log_index for r in gone] == [5]
+    s = e.state()
+    assert {r.key: r.blocks for r in s.bindings.collect()} == {"k": [ids[0]], "l": [ids[0], ids[1]], "o": [ids[1]]}
+    assert [(r.parent_key, r.child_key) for r in s.edges.collect()] == [("k", "l")]
+
+
+def test_snapshot_is_restored_or_refused(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"))
+    row = lambda i, kind, lease=None, key=None, blocks=None, revision=None, tick=None: (i, kind, "a", lease, key, blocks, revision, tick)
+    rows = [row(1, "register"), row(2, "begin", "l", blocks=["y"]), row(3, "advance", tick=0), row(4, "commit", "l", "k", ["y"], 0), row(5, "begin", "m", blocks=["w"])]
+    e.append(spark.createDataFrame(rows, "log_index long, kind string, agent string, lease string, key string, blocks array<string>, expected_revision long, expected_tick long"))
+    path = str(tmp_path / "snap")
+    e.snapshot(path)
+    state, leases = e.restore(path)
+    assert [(r.key, r.blocks) for r in state.bindings.collect()] == [("k", ["y"])]
+    assert {r.lease: r.status for r in leases.collect()} == {"l": "committed", "m": "pending"} and leases.first().clock == 1
+    spark.createDataFrame([("w", 99)], "block_id string, log_index long").write.mode("overwrite").parquet(f"{path}/fences")
+    with pytest.raises(ValueError, match="fence_after_last_entry"):
+        e.restore(path)
+
+
+def test_rest_works_without_the_training_data_operators(tmp_path):
+    root = Path(entry.__file__).parent
+    for name in ("__spark_entry__.py", "lithoframe"):
+        source = root / name
+        copy = shutil.copytree if source.is_dir() else shutil.copy
+        copy(source, tmp_path / name, **({"ignore": shutil.ignore_patterns("llm", "__pycache__")} if source.is_dir() else {}))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and not any(n.startswith('op1_') for n in q) and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": os.environ["PATH"], "PYTHONPATH": str(tmp_path)})
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["lookup_id", "hit_depth"] and df.count() > 0

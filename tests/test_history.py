@@ -63,8 +63,9 @@ def test_pins_and_warm_tier(spark):
 def test_percentiles(spark):
     df = spark.createDataFrame([(float(i),) for i in (4, 1, 3, 2)], "x double")
     x = F.col("x")
-    assert list(df.agg(M.percentile_linear(x, 0.5), M.percentile_rounded(x, 0.5), M.percentile_truncated(x, 0.99)).first()) == [2.5, 3.0, 3.0]
-    assert df.where("x = 1").agg(M.percentile_truncated(x, 0.99)).first()[0] == 1.0
+    assert df.agg(M.percentile_linear(x, 0.5)).first()[0] == 2.5
+    assert list(M.ranked(df, "x", [], {"r": M.rounded_place(0.5), "t": M.truncated_place(0.99)}).first()) == [3.0, 3.0]
+    assert M.ranked(df.where("x = 1"), "x", [], {"t": M.truncated_place(0.99)}).first().t == 1.0
 
 
 def test_metric_lines(spark):

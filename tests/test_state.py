@@ -112,12 +112,41 @@ def test_reclamation_blockers(spark):
 
 
 def test_location_observation(spark):
-    rows = [(1, "x", 1, "g1"), (2, "y", 1, "g1"), (3, "x", 1, "g2")] + [(10 + n, "z", n, "g") for n in range(2, 22)]
+    rows = [(1, "x", 1, "g1"), (2, "y", 1, "g1"), (3, "x", 1, "g2"), (4, "none", 1, "g2")] + [(10 + n, "z", n, "g") for n in range(22, 2, -1)] + [(90, "w", 50, "g"), (91, "w", 50, None), (92, "w", 51, "g")]
     got = defaultdict(dict)
-    for r in R.observe_locations(spark.createDataFrame(rows, "at long, block_id string, node long, generation string")).collect():
+    required = spark.createDataFrame([(b,) for b in "xyzw"], "block_id string")
+    for r in R.observe_locations(spark.createDataFrame(rows, "at long, block_id string, node long, generation string"), required).collect():
         got[r.block_id][r.node] = r.generation
-    assert got["x"] == {1: "g2"} and "y" not in got
-    assert sorted(got["z"]) == list(range(6, 22))
+    assert got["x"] == {1: "g2"} and "y" not in got and "none" not in got and got["w"] == {51: "g"}
+    held = set()
+    for _, b, n, _ in sorted(r for r in rows if r[1] == "z"):
+        held = (held - {min(held)} if len(held) >= 16 else held) | {n}
+    assert set(got["z"]) == held and 22 in held  # a new node lower than all 16 is kept
+
+
+def test_capacities_reject_in_log_order(spark):
+    rows = [(1, 0, "require", ["a", "b"], 3), (2, 0, "bind", ["c"], None), (3, 0, "bind", ["d"], None), (3, 1, "bind", ["e", "f"], None), (4, 0, "require", ["a", "c"], 2), (5, 0, "require", ["z"], 99), (6, 0, "bind", ["d"], None), (7, 0, "bind", ["x"], None), (8, 0, "bind", ["a", "c"], None), (9, 0, "require", ["c", "d"], 4)]
+    df = spark.createDataFrame(rows, "log_index long, sub long, kind string, blocks array<string>, replicas int")
+    got = {r.log_index: r.reason for r in G.capacity_rejections(df, most_required=3, most_fenced=4).collect()}
+    full = "block fence capacity exhausted"
+    assert got == {3: full, 7: full, 9: "replica requirement capacity exhausted"}
+
+
+def test_state_over_capacity_leaves_out_what_the_log_rejects(spark, monkeypatch):
+    monkeypatch.setattr(S, "MAX_BLOCK_FENCES", 2)
+    monkeypatch.setattr(G.capacity_rejections, "__defaults__", (S.MAX_REQUIREMENTS, 2))
+    rows = [(1, 0, "bind", "a", None, "k", ["x"], None, None), (2, 0, "bind", "a", None, "l", ["y"], None, None), (3, 0, "bind", "a", None, "k", ["z"], None, None), (4, 0, "bind", "a", None, "m", ["y"], None, None)]
+    df = spark.createDataFrame(rows, "log_index long, sub long, kind string, agent string, display_name string, key string, blocks array<string>, parent string, replicas int")
+    s = G.materialize(df, capped=True)
+    assert {r.key: r.blocks for r in s.bindings.collect()} == {"k": ["x"], "l": ["y"], "m": ["y"]}
+    assert {r.block_id: r.log_index for r in s.fences.collect()} == {"x": 1, "y": 4}
+
+
+def test_lineage_of_a_long_chain(spark):
+    n = 300
+    edges = spark.createDataFrame([(str(i), str(i + 1), i, 0, i) for i in range(n)], "parent_key string, child_key string, first_log_index long, sub long, last_log_index long")
+    got = P.lineage(edges, spark.createDataFrame([(str(n),), ("5",), ("alone",)], "key string"))
+    assert sorted((r.leaf, r.step, r.key) for r in got.collect()) == sorted([(str(n), i, str(n - i)) for i in range(n + 1)] + [("5", i, str(5 - i)) for i in range(6)] + [("alone", 0, "alone")])
 
 
 def test_lease_status_precedence(spark):
