@@ -3,7 +3,8 @@
 The language whose dictionary gives the smallest frames wins; where the runner-up's are nearly as small the
 prediction is marked rejected. A dictionary saves about as much on a long text as on a short one, so a text is
 encoded in blocks of bounded size, all of them, and the sizes are summed: the margin's share does not shrink with
-length. Cases: a null text or one without a letter is `und`, score 0, rejected; equal
+length. Dictionaries are fitted on a bounded sample of different labelled texts, for the MAX_LANGS languages with most
+labelled rows. Cases: a null text or one without a letter is `und`, score 0, rejected; equal
 sizes go to the alphabetically first language with score 0, rejected; with nothing to learn from every text
 is `und`; repeated rows are predicted alike, each on its own row; columns other than the named ones are ignored.
 """
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-ROWS_PER_LANG = 96  # labelled rows that a dictionary is fitted on, at most
+ROWS_PER_LANG = 96  # different labelled texts that a dictionary is fitted on, at most
+MAX_LANGS = 128  # languages that are told apart, at most: those with most labelled rows
 DICT_BYTES = 64 << 10  # size of a language's dictionary, at most
 LEVEL = 5
 BLOCK_BYTES = 64 << 10  # of a text that a frame covers, at most
@@ -58,15 +60,15 @@ def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, dict_bytes: int = D
     fills it alone; predictions never see a cut text.
     """
     known = docs.where(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     first = Window.partitionBy("lang").orderBy("place", "text")
 
     def drawn(langs: dict[str, int], spread: int | None) -> dict[str, list[str]]:
         if not langs:
             return {}
         limit = F.create_map(*[F.lit(x) for k, n in langs.items() for x in (k, (1 << 30) if spread is None else min(1 << 30, (1 << 30) * spread * rows_per_lang // n))])
-        near = known.select("lang", "text", place.alias("place")).where(F.col("place") < limit[F.col("lang")])
+        near = known.select("lang", "text", place.alias("place")).where(F.col("place") < F.try_element_at(limit, F.col("lang"))).distinct()
         rows = near.withColumn("at", F.row_number().over(first)).where(F.col("at") <= rows_per_lang).select("lang", "at", F.substring("text", 1, dict_bytes).alias("text"))
         out: dict[str, list[str]] = {}
         for r in sorted(rows.collect(), key=lambda r: (r.lang, r.at)):
@@ -74,7 +76,7 @@ def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, dict_bytes: int = D
         return out
 
     texts = drawn(counts, 4)
-    texts |= drawn({k: n for k, n in counts.items() if k not in texts}, None)  # all rows of a language share a hash
+    texts |= drawn({k: n for k, n in counts.items() if k not in texts}, None)  # no text of the language has a hash below the limit
     return {lang: b" ".join(dict.fromkeys(map(folded, got)))[-dict_bytes:] for lang, got in sorted(texts.items())}
 
 

@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -57,6 +58,33 @@ def test_language(spark):
     assert langid.fit(docs(spark, relabelled)) == langid.fit(docs(spark, train))
 
 
+def test_languages_with_equal_sizes_and_repeated_texts(spark):
+    same = [(i, words(40, seed=i // 2), ("aa", "bb")[i % 2]) for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    both = [x for x in same if any(y[1] == x[1] and y[2] != x[2] for y in same)]
+    found = langid.predict(docs(spark, both), langid.fit(docs(spark, both))).collect()
+    assert all(r.lang_pred == "aa" and r.score == 0 and r.rejected for r in found)  # equal dictionaries tie
+    train = [(i, words(50, "aa", seed=0), "aa") for i in range(500)] + [(1000 + i, words(50, "aa", seed=i), "aa") for i in range(150)]
+    assert len(langid.fit(docs(spark, train))["aa"]) > 20_000  # one text on most rows does not fill the sample
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(langid, "MAX_LANGS", 1)
+        assert list(langid.fit(docs(spark, train + [(5000 + i, words(50, "bb", seed=i), "bb") for i in range(20)]))) == ["aa"]
+
+
+def test_language_sizes_are_those_of_plain_frames(spark):
+    train = [(i, words(50, lang, seed=i), lang) for i in range(200) for lang in [("aa", "bb")[i % 2]]]
+    raw = langid.fit(docs(spark, train))
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text}
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id bigint, text string"), raw).collect()}
+    for i, t in texts.items():
+        lowered = re.sub(rb"[\x00-@\[-`{-\x7f]", b" ", t.lower().encode())
+        if len(lowered) <= langid.BLOCK_BYTES and regex.search(r"\p{L}", t):
+            sizes = []
+            for lang, d in raw.items():
+                one = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+                sizes.append((len(one.compress(lowered)), lang))
+            assert got[i].lang_pred == min(sizes)[1] or abs(sizes[0][0] - sizes[1][0]) <= 0.02 * max(sizes)[0], i
+
+
 def test_long_text_of_one_language_is_kept(spark):
     forms = random.Random(11)
     made = lambda n: ["".join(forms.choice("abcdefghijkl") for _ in range(forms.randint(3, 9))) for _ in range(n)]
@@ -199,6 +227,18 @@ def test_long_texts_are_encoded_in_stretches(monkeypatch):
     assert np.frombuffer(byte.encode([t])[0], "<u4").tolist() == reference(byte).encode_ordinary(t)
 
 
+def test_byte_level_tables(spark):
+    rows = docs(spark, HARD + [(20 + i, t, None) for i, t in enumerate(ODD + ODD)])
+    byte = bytebpe.codec(*bytebpe.vocabulary())
+    got = sorted((r.doc_id if r.doc_id is not None else -1, np.frombuffer(r.ids, "<u4").tolist(), r.n_tokens, bytes(r.decoded)) for r in bytebpe.decode(bytebpe.encode(rows)).collect())
+    want = []
+    for r in rows.collect():
+        ids = reference(byte).encode_ordinary(r.text or "")
+        want.append((r.doc_id if r.doc_id is not None else -1, ids, len(ids), (r.text or "").encode()))
+    assert got == sorted(want)
+    assert bytebpe.decode(bytebpe.encode(rows.limit(0))).count() == 0
+
+
 def test_packing(spark):
     hard = docs(spark, HARD + [(100 + i, words(random.Random(i).randint(1, 400), seed=i), "aa") for i in range(40)])
     out = packing.stage(spark, hard, "").toPandas()
