@@ -61,14 +61,14 @@ def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, dict_bytes: int = D
     """
     known = docs.where(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     first = Window.partitionBy("lang").orderBy("place", "text")
 
     def drawn(langs: dict[str, int], spread: int | None) -> dict[str, list[str]]:
         if not langs:
             return {}
         limit = F.create_map(*[F.lit(x) for k, n in langs.items() for x in (k, (1 << 30) if spread is None else min(1 << 30, (1 << 30) * spread * rows_per_lang // n))])
-        near = known.select("lang", "text", place.alias("place")).where(F.col("place") < F.try_element_at(limit, F.col("lang"))).distinct()
+        near = known.select("lang", "text", place.alias("place")).where(F.col("place") < F.try_element_at(limit, F.col("lang"))).groupBy("lang", "text").agg(F.min("place").alias("place"))
         rows = near.withColumn("at", F.row_number().over(first)).where(F.col("at") <= rows_per_lang).select("lang", "at", F.substring("text", 1, dict_bytes).alias("text"))
         out: dict[str, list[str]] = {}
         for r in sorted(rows.collect(), key=lambda r: (r.lang, r.at)):
@@ -76,7 +76,7 @@ def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, dict_bytes: int = D
         return out
 
     texts = drawn(counts, 4)
-    texts |= drawn({k: n for k, n in counts.items() if k not in texts}, None)  # no text of the language has a hash below the limit
+    texts |= drawn({k: n for k, n in counts.items() if k not in texts}, None)  # no row of the language has a hash below the limit
     return {lang: b" ".join(dict.fromkeys(map(folded, got)))[-dict_bytes:] for lang, got in sorted(texts.items())}
 
 
