@@ -59,8 +59,7 @@ def test_language(spark):
 
 
 def test_languages_with_equal_sizes_and_repeated_texts(spark):
-    same = [(i, words(40, seed=i // 2), ("aa", "bb")[i % 2]) for i in range(40) if zlib.crc32(str(i).encode()) % 5]
-    both = [x for x in same if any(y[1] == x[1] and y[2] != x[2] for y in same)]
+    both = [(i, words(40), ("aa", "bb")[i % 2]) for i in range(40)]
     found = langid.predict(docs(spark, both), langid.fit(docs(spark, both))).collect()
     assert all(r.lang_pred == "aa" and r.score == 0 and r.rejected for r in found)  # equal dictionaries tie
     train = [(i, words(50, "aa", seed=0), "aa") for i in range(500)] + [(1000 + i, words(50, "aa", seed=i), "aa") for i in range(150)]
