@@ -62,7 +62,7 @@ class SlicedBlock:
         big = (np.abs(x) >= BIG).any(1)
         self.big_ids, self.big = ids[big], x[big]
         self.ids, self.x = ids[~big], x[~big]
-        self.reach = np.abs(self.x).max(0, initial=0).astype(object)
+        self.reach = np.abs(self.x).max(0, initial=0).astype(float)
         n, d = self.x.shape
         if not n:
             return
@@ -112,7 +112,7 @@ class SlicedBlock:
         """Ids and scores of the k best rows of other ids, all if fewer."""
         if not len(self.ids):
             found = np.empty(0, np.int64), np.empty(0, np.int64)
-        elif int(self.reach @ np.abs(q).astype(object)) > LONG:
+        elif self.reach @ np.abs(q).astype(float) > LONG / 2:
             other = self.ids != query_id
             found = leading(self.ids[other], exact(self.x[other], q), k)
         else:
