@@ -42,7 +42,7 @@ class Engine:
     def put_many(self, payloads: DataFrame) -> DataFrame:
         """payloads(pos, payload): append new blocks; pos, block_id of all."""
         ids, fresh = B.put_many(payloads, self.blocks())
-        fresh.write.mode("append").parquet(f"{self.root}/blocks")
+        fresh.drop("pos").write.mode("append").parquet(f"{self.root}/blocks")
         return ids
 
     def get(self, wanted: DataFrame) -> DataFrame:

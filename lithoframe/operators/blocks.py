@@ -16,14 +16,16 @@ def identified(payloads: DataFrame, id_of=H.block_id) -> DataFrame:
 
 
 def put_many(payloads: DataFrame, store: DataFrame, id_of=H.block_id) -> tuple[DataFrame, DataFrame]:
-    """Ids in input order (pos, block_id), and the rows to append: the first of each id that the store lacks.
+    """Ids in input order (pos, block_id), and the rows to append (pos, block_id, payload, payload_len): the first of each id that the store lacks.
 
-    Appending the second frame is the commit. Ids alone are shuffled for the anti join, and the store's payloads are not read.
+    Appending the second frame is the commit. Ids alone meet the store, and its payloads are not read; a payload is
+    fetched by its position and must hash to the id that was found there, so a null payload stores nothing.
     """
-    known = identified(payloads, id_of)
-    first = known.groupBy("block_id").agg(F.min("pos").alias("pos")).join(store.select("block_id"), "block_id", "left_anti")
-    fresh = known.join(first, ["block_id", "pos"], "left_semi").select("block_id", "payload", "payload_len")
-    return known.select("pos", "block_id"), fresh
+    ids = payloads.select("pos", id_of(F.col("payload")).alias("block_id"))
+    given = payloads.select("pos", "payload").where("payload is not null")
+    first = given.groupBy(id_of(F.col("payload")).alias("block_id")).agg(F.min("pos").alias("pos")).join(store.select("block_id"), "block_id", "left_anti")
+    fresh = given.join(first, "pos").where(id_of(F.col("payload")) == F.col("block_id"))
+    return ids, fresh.select("pos", "block_id", "payload", F.length("payload").cast("bigint").alias("payload_len"))
 
 
 def dedup_first(payloads: DataFrame) -> DataFrame:

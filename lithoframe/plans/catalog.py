@@ -68,7 +68,7 @@ def block_dedup_first(spark, d) -> DataFrame:
 @query(f"WITH {I.BLOCKS} SELECT pos, block_id, block_id NOT IN (SELECT block_id FROM stored) AND pos = min(pos) OVER (PARTITION BY block_id) AS appended FROM docs")
 def block_put_many_ids(spark, d) -> DataFrame:
     ids, fresh = B.put_many(I.payloads(spark, d), I.stored(spark, d))
-    first = ids.groupBy("block_id").agg(F.min("pos").alias("pos")).join(fresh.select("block_id"), "block_id").withColumn("appended", F.lit(True))
+    first = fresh.select("pos", "block_id", F.lit(True).alias("appended"))
     return ids.join(first, ["pos", "block_id"], "left").select("pos", "block_id", F.coalesce("appended", F.lit(False)).alias("appended"))
 
 
