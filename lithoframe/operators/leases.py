@@ -13,7 +13,7 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 
 from .. import schemas as S
 
@@ -168,8 +168,10 @@ def entries(frame: pd.DataFrame) -> Iterable[dict]:
         yield {k: _plain(v) for k, v in row.items()}
 
 
-def _relevant(mutations: DataFrame) -> DataFrame:
-    return mutations.where(mutations.kind.isin(*MOVES))
+def _clusters(mutations: DataFrame) -> GroupedData:
+    """What leases depend on, by cluster; dealt over all partitions, as a fold's cost is not in the bytes that coalescing goes by."""
+    n = int(mutations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mutations.where(mutations.kind.isin(*MOVES)).repartition(n, "cluster").groupBy("cluster")
 
 
 def _in_order(log: pa.Table) -> list[dict]:
@@ -190,7 +192,7 @@ def fold(mutations: DataFrame) -> DataFrame:
         state = LeaseLog()
         return _table([(e["cluster"], e["log_index"], *state.take(e)) for e in _in_order(log)], schema)
 
-    return _relevant(mutations).groupBy("cluster").applyInArrow(run, schema)
+    return _clusters(mutations).applyInArrow(run, schema)
 
 
 def leases(mutations: DataFrame) -> DataFrame:
@@ -203,7 +205,7 @@ def leases(mutations: DataFrame) -> DataFrame:
             state.take(e)
         return _table([(key[0].as_py(), state.s["clock"], *r) for r in state.rows()], schema)
 
-    return _relevant(mutations).groupBy("cluster").applyInArrow(run, schema)
+    return _clusters(mutations).applyInArrow(run, schema)
 
 
 def effects(mutations: DataFrame) -> DataFrame:
@@ -229,4 +231,4 @@ def effects(mutations: DataFrame) -> DataFrame:
                 out.append((*at, "touch", e["agent"], None, state.s["leases"][e["lease"]]["blocks"], None))
         return _table(out, schema)
 
-    return _relevant(mutations).groupBy("cluster").applyInArrow(run, schema)
+    return _clusters(mutations).applyInArrow(run, schema)
