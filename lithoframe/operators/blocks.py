@@ -23,7 +23,8 @@ def put_many(payloads: DataFrame, store: DataFrame, id_of=H.block_id) -> tuple[D
     """
     ids = payloads.select("pos", id_of(F.col("payload")).alias("block_id"))
     given = payloads.select("pos", "payload").where("payload is not null")
-    first = given.groupBy(id_of(F.col("payload")).alias("block_id")).agg(F.min("pos").alias("pos")).join(store.select("block_id"), "block_id", "left_anti")
+    found = F.coalesce(id_of(F.col("payload")), F.lit("")).alias("block_id")  # never null, or a filter on it would hash everything once more
+    first = given.groupBy(found).agg(F.min("pos").alias("pos")).join(store.select("block_id"), "block_id", "left_anti")
     fresh = given.join(first, "pos").where(id_of(F.col("payload")) == F.col("block_id"))
     return ids, fresh.select("pos", "block_id", "payload", F.length("payload").cast("bigint").alias("payload_len"))
 

@@ -1,6 +1,7 @@
 """Segment files, journals and frames."""
 
 import json
+from hashlib import sha256
 
 import pytest
 from hypothesis import given, settings
@@ -92,6 +93,16 @@ def test_put_many_and_fsck(spark):
     assert B.verify_all(bad).first().corrupt == 1 and B.damaged(bad).count() == 1
 
 
+def test_put_many_of_null_repeated_and_misplaced_payloads(spark):
+    rows = [(0, None), (1, b"a"), (2, None), (3, b"b"), (3, b"a"), (4, b"b")]
+    p = spark.createDataFrame(rows, "pos long, payload binary")
+    ids, fresh = B.put_many(p, spark.createDataFrame([], "block_id string, payload binary"))
+    assert sorted((r.pos, r.block_id is None) for r in ids.collect()) == [(0, True), (1, False), (2, True), (3, False), (3, False), (4, False)]
+    got = [(r.pos, bytes(r.payload), r.block_id) for r in fresh.collect()]
+    assert sorted(got) == [(1, b"a", sha256(b"a").hexdigest()), (3, b"b", sha256(b"b").hexdigest())]
+    assert not B.put_many(p.limit(0), p.select(F.lit("").alias("block_id")))[1].collect()
+
+
 def test_bind_check_and_pieces(spark):
     store = spark.createDataFrame([("x",)], "block_id string")
     binds = spark.createDataFrame([(1, ["x"]), (2, ["x", "y", "z"]), (3, [])], "bind_id int, blocks array<string>")
