@@ -53,58 +53,86 @@ def leading(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
     return ids[order], scores[order]
 
 
+def signed_digits(q: np.ndarray) -> list[np.ndarray]:
+    """Digits -1, 0 and 1 of integers to base 2, least significant first, no two neighbours set: a third of them is."""
+    out, left = [], q.astype(np.int64)
+    while left.any():
+        digit = np.where(left & 1 == 1, 2 - (left & 3), 0)
+        out.append(digit)
+        left = (left - digit) >> 1
+    return out
+
+
 class SlicedBlock:
     """Bitmaps by dimension and bit over rows in the order of their ids; rows with big components stand beside them."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order].astype(np.int64)
-        big = (np.abs(x) >= BIG).any(1)
+        ids, x = ids[order], x[order].astype(np.int64, copy=False)
+        size = np.abs(x)
+        big = (size >= BIG).any(1)
+        few = slice(None) if not big.any() else ~big  # a slice copies nothing
         self.big_ids, self.big = ids[big], x[big]
-        self.ids, self.x = ids[~big], x[~big]
-        self.reach = np.abs(self.x).max(0, initial=0).astype(float)
+        self.ids, self.x = ids[few], x[few]
+        self.reach = size[few].max(0, initial=0).astype(float)
         n, d = self.x.shape
         if not n:
             return
-        low = self.x.min(0)
-        up = self.x - low
-        self.bits = max(1, int(up.max(initial=0)).bit_length())
+        up = self.x - self.x.min(0)
+        most = int(up.max(initial=0))
+        self.bits = max(1, most.bit_length())
         words = -(-n // 64)
-        self.slices = np.zeros((2, d, self.bits, words), np.uint64)
+        wide = np.zeros((d, words * 64), np.min_scalar_type(most))  # a dimension is a row of the smallest integers that hold it
+        wide[:, :n] = up.T
+        self.slices = np.empty((2, d, self.bits, words), np.uint64)
         for j in range(self.bits):
-            plane = np.zeros((d, words * 64), np.uint8)
-            plane[:, :n] = ((up >> j) & 1).T
-            self.slices[0, :, j] = np.packbits(plane, axis=1, bitorder="little").view(np.uint64)
+            self.slices[0, :, j] = np.packbits(wide & wide.dtype.type(1 << j), axis=1, bitorder="little").view(np.uint64)
         self.slices[1] = ~self.slices[0]
+        self.room = [np.empty((0, words), np.uint64)] * 3  # for sums, used again by the next query
         self.valid = np.packbits(np.arange(words * 64) < n, bitorder="little").view(np.uint64)
 
     def sums(self, q: np.ndarray) -> list[np.ndarray]:
-        """Slices, least significant first, of the scores plus a constant: weights of negative components count complements."""
-        columns: dict[int, list[np.ndarray]] = {}
-        size = np.abs(q)
-        for i in range(int(size.max(initial=0)).bit_length()):
-            for sign in (0, 1):
-                dims = np.flatnonzero((size >> i & 1 == 1) & ((q < 0) == bool(sign)))
+        """Slices, least significant first, of the scores plus a constant: negative digits of a weight count complements."""
+        terms: dict[int, list[np.ndarray]] = {}  # weight of two -> places of slices
+        for i, digit in enumerate(signed_digits(q)):
+            for sign, value in enumerate((1, -1)):
+                dims = np.flatnonzero(digit == value)
                 if len(dims):
                     for j in range(self.bits):
-                        columns.setdefault(i + j, []).append(self.slices[sign, dims, j])
-        out, w = [], 0
-        while columns:
-            mine = columns.pop(w, None)
-            if mine is None:
-                out.append(np.zeros_like(self.valid))
-            else:
-                stack = np.concatenate(mine)
-                while len(stack) > 1:
-                    t = len(stack) // 3
-                    if t:
-                        a, b, c = stack[:t], stack[t : 2 * t], stack[2 * t : 3 * t]
-                        odd = a ^ b
-                        carry, stack = a & b | odd & c, np.concatenate([odd ^ c, stack[3 * t :]])
-                    else:
-                        carry, stack = stack[:1] & stack[1:], stack[:1] ^ stack[1:]
-                    columns.setdefault(w + 1, []).append(carry)
-                out.append(stack[0])
+                        terms.setdefault(i + j, []).append((sign * self.x.shape[1] + dims) * self.bits + j)
+        places = [np.concatenate(terms[w]) if w in terms else np.empty(0, np.int64) for w in range(max(terms, default=-1) + 1)]
+        flat = self.slices.reshape(-1, len(self.valid))
+        rows, load = 1, 0
+        for at in places:  # a column holds its own slices and the carries of the one below
+            load = len(at) + load // 2 + 1
+            rows = max(rows, load)
+        if len(self.room[0]) < rows:
+            self.room = [np.empty((rows, len(self.valid)), np.uint64) for _ in range(3)]
+        stack, above, spare = self.room
+        out, carried, w = [], 0, 0
+        while w < len(places) or carried:
+            n = carried
+            if w < len(places):
+                n += len(places[w])
+                np.take(flat, places[w], axis=0, out=stack[carried:n], mode="clip")
+            carried = 0
+            while n > 2:
+                t = n // 3
+                r = n - 3 * t  # these wait
+                a, b, c, odd, carry = stack[r : r + t], stack[r + t : r + 2 * t], stack[r + 2 * t : n], spare[:t], above[carried : carried + t]
+                np.bitwise_xor(a, b, out=odd)
+                np.bitwise_xor(a, c, out=carry)
+                np.bitwise_and(carry, odd, out=carry)
+                np.bitwise_xor(carry, a, out=carry)  # c where a and b differ, else a
+                np.bitwise_xor(odd, c, out=a)
+                n = r + t
+                carried += t
+            if n == 2:
+                np.bitwise_and(stack[0], stack[1], out=above[carried])
+                np.bitwise_xor(stack[0], stack[1], out=stack[0])
+                carried += 1
+            out.append(stack[0].copy() if n else np.zeros_like(self.valid))
+            stack, above = above, stack
             w += 1
         return out
 
