@@ -131,8 +131,7 @@ def _journal(texts: pd.Series) -> pd.Series:
 
     def one(ts) -> bytes:
         ids = [sha256(t.encode()).digest() for t in ts]
-        frames = [J.journal_frame([x, x, ids[i - 1]] if i else [x], i + 1) for i, x in enumerate(ids)]
-        return b"".join(frames)[:-5]
+        return J.journal_frames([[x, x, ids[i - 1]] if i else [x] for i, x in enumerate(ids)], 1)[:-5]
 
     return texts.map(one)
 

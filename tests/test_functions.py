@@ -35,6 +35,14 @@ def test_blake3_agrees_with_the_jvm_class(spark, n):
     assert blake3.digest(data) == bytes(b & 255 for b in jvm.hash(data))
 
 
+def test_blake3_of_many_payloads(monkeypatch):
+    payloads = [bytes(i % 251 for i in range(n)) for n in (0, 1, 64, 1023, 1024, 1025, 2048, 2049, 3 * 1024, 5000, 7 * 1024 + 1, 0, 40_000)]
+    alone = [blake3.digest(p) for p in payloads]
+    assert blake3.digests(payloads) == alone and blake3.digests([]) == []
+    monkeypatch.setattr(blake3, "BATCH", 3000)
+    assert blake3.digests(payloads) == alone
+
+
 def test_blake3_column(spark):
     r = one(spark, blake3.blake3_id(F.lit(b"abc")), blake3.blake3_id(F.lit(None).cast("binary")))
     assert r[0].startswith("6437b3ac") and r[1] is None

@@ -132,6 +132,9 @@ def test_retention_journal(spark):
         J.parse_journal(raw[:70] + b"?" + raw[71:])
     with pytest.raises(ValueError):
         J.parse_journal(J.journal_frame([a], 2))
+    with pytest.raises(ValueError, match="corrupt journal body at byte 0"):  # the first of two faults
+        J.parse_journal(raw[:70] + b"?" + raw[71:-200] + bytes(200))
+    assert J.journal_frames([[a, b, a], [a]], 1) == raw and J.parse_journal(b"") == []
     entries = J.retention_journal(spark.createDataFrame([("j", raw)], "name string, content binary"))
     assert {r.block_id: r.local_generation for r in J.guards(entries).collect()} == {a.hex(): 2, b.hex(): 1}
     assert not J.sequence_gaps(entries).count()
