@@ -578,7 +578,7 @@ def _segments(spark, d) -> DataFrame:
     @F.pandas_udf(BinaryType())
     def record(texts: pd.Series, damage: pd.Series) -> pd.Series:
         def one(t: str, bad: bool) -> bytes:
-            raw = bytearray(b"".join(Z.encode_record(Z.HASHES["sha256"](p), p) for p in (t.encode(), b"second " + t.encode())))
+            raw = bytearray(b"".join(Z.encode_record(Z.HASHES["sha256"]([p])[0], p) for p in (t.encode(), b"second " + t.encode())))
             raw[64] ^= bool(bad)
             return bytes(raw)
 

@@ -11,7 +11,8 @@ import os
 import re
 import struct
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from .. import schemas as S
-from ..functions.blake3 import digest as blake3
+from ..functions.blake3 import BATCH, digests
 
 # The record format; fixed values.
 MAGIC = b"KLPK"
@@ -31,7 +32,9 @@ RESERVED = slice(48, 64)
 FILE_NAME = "seg-{:08d}.klpk"
 FILE_PATTERN = re.compile(r"seg-(\d{8,10})\.klpk$")
 ROLL_BYTES = 256 << 20
-HASHES: dict[str, Callable[[bytes], bytes]] = {"blake3": blake3, "sha256": lambda b: hashlib.sha256(b).digest()}
+REPLACING = ".replacing"  # holds the number of new segments while an overwrite puts them in place
+Hashes = Callable[[list[bytes]], list[bytes]]  # of many payloads at once
+HASHES: dict[str, Hashes] = {"blake3": digests, "sha256": lambda payloads: [hashlib.sha256(p).digest() for p in payloads]}
 
 
 def record_length(payload_len: int) -> int:
@@ -66,31 +69,54 @@ def valid_end(data: bytes) -> int:
     return 0 if last is None else last[1] + record_length(last[2])
 
 
-def findings(data: bytes, hash_of: Callable[[bytes], bytes] = blake3) -> Iterator[tuple[int, str | None, bytes | None]]:
+def _look(data: bytes, at: int) -> tuple[str | None, bytes | None, int]:
+    """What is wrong with a record's start, its id and payload length; the payload is not hashed."""
+    head = data[at : at + HEADER]
+    found = parse_header(head)
+    if len(head) < HEADER:
+        return "truncated_header", None, 0
+    if not found:
+        return "invalid_header", None, 0
+    if any(head[RESERVED]):
+        return "invalid_reserved_header", *found
+    if found[1] + HEADER + PAGE - 1 >= 1 << 64:
+        return "length_overflow", *found
+    if at + record_length(found[1]) > len(data):
+        return "truncated_or_invalid_length", *found
+    return None, *found
+
+
+def findings(data: bytes, hashes_of: Hashes = digests) -> Iterator[tuple[int, str | None, bytes | None]]:
     """(offset, kind, id) at every page that should start a record; kind is null for an intact one.
 
     A damaged record's length is not trusted: the walk goes on at the next page, so later records are still seen.
+    Records that follow each other are hashed together; hashes beyond a damaged one are kept until the walk gets there.
     """
-    at = 0
+    at, known = 0, {}
     while at < len(data):
-        head, step = data[at : at + HEADER], PAGE
-        found = parse_header(head)
-        if len(head) < HEADER:
-            yield at, "truncated_header", None
-        elif not found:
-            yield at, "invalid_header", None
-        elif any(head[RESERVED]):
-            yield at, "invalid_reserved_header", found[0]
-        elif found[1] + HEADER + PAGE - 1 >= 1 << 64:
-            yield at, "length_overflow", found[0]
-        elif at + record_length(found[1]) > len(data):
-            yield at, "truncated_or_invalid_length", found[0]
-        elif hash_of(data[at + HEADER : at + HEADER + found[1]]) != found[0]:
-            yield at, "payload_hash_mismatch", found[0]
+        run, held, ahead, kind, id_ = [], 0, at, None, None
+        while ahead < len(data) and held < BATCH:
+            kind, id_, n = _look(data, ahead)
+            if kind:
+                break
+            run.append((ahead, id_, n))
+            ahead += record_length(n)
+            held += record_length(n)
+        known = {place: h for place, h in known.items() if place >= at}
+        fresh = [r for r in run if r[0] not in known]
+        hashes = hashes_of([data[place + HEADER : place + HEADER + n] for place, _, n in fresh])
+        known |= {place: h for (place, _, _), h in zip(fresh, hashes, strict=True)}
+        for place, expected, n in run:
+            if known[place] != expected:
+                yield place, "payload_hash_mismatch", expected
+                at = place + PAGE
+                break
+            yield place, None, expected
+            at = place + record_length(n)
         else:
-            yield at, None, found[0]
-            step = record_length(found[1])
-        at += step
+            if kind:
+                yield at, kind, id_
+                at += PAGE
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -126,9 +152,9 @@ def scrub(segments: DataFrame, hash_name: str = "blake3", sealed_only: bool = Fa
     if sealed_only:
         newest = segments.agg(F.max("segment").alias("newest"))
         segments = segments.join(F.broadcast(newest), F.col("segment") < F.col("newest")).drop("newest")
-    hash_of = HASHES[hash_name]
+    hashes_of = HASHES[hash_name]
     names, kinds = ["segment", "offset", "kind", "block_id"], [pa.int32(), pa.int64(), pa.string(), pa.string()]
-    return _mapped(segments, lambda d: [(at, k, i.hex() if i else None) for at, k, i in findings(d, hash_of) if k], names, kinds, S.FINDINGS)
+    return _mapped(segments, lambda d: [(at, k, i.hex() if i else None) for at, k, i in findings(d, hashes_of) if k], names, kinds, S.FINDINGS)
 
 
 def segment_gaps(segments: DataFrame) -> DataFrame:
@@ -196,9 +222,41 @@ def _local(path: str) -> str:
     return path.removeprefix("file://")
 
 
+def _groups(payloads: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Payloads in lists of BATCH bytes, the last payload of each beside."""
+    group, held = [], 0
+    for p in payloads:
+        group.append(p)
+        held += len(p) + HEADER
+        if held >= BATCH:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def finish_overwrite(path: str) -> None:
+    """Puts new segments in place of the old ones if an overwrite was decided; it may be cut off and begun again anywhere."""
+    marker = os.path.join(path, REPLACING)
+    if not os.path.exists(marker):
+        return
+    with suppress(FileNotFoundError):  # another task may finish the same overwrite
+        with open(marker) as f:
+            count = int(f.read())
+        for i in range(count):
+            with suppress(FileNotFoundError):  # in place already
+                os.replace(os.path.join(path, f".new-{i:08d}"), os.path.join(path, FILE_NAME.format(i)))
+        for n in os.listdir(path):
+            m = FILE_PATTERN.match(n)
+            if n.startswith(".new-") or (m and int(m[1]) >= count):
+                os.remove(os.path.join(path, n))
+        os.remove(marker)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path = _local(options["path"])
+        finish_overwrite(self.path)
         self.payload = options.get("payload", "true") == "true"
 
     def partitions(self):
@@ -224,32 +282,37 @@ class _Writer(DataSourceWriter):
 
     def write(self, rows):
         os.makedirs(self.path, exist_ok=True)
-        done, out, tail, hash_of = [], None, 0, HASHES[self.hash]
-        for row in rows:
-            payload = bytes(row["payload"])
-            record = encode_record(hash_of(payload), payload)
-            if out is None or (tail and tail + len(record) > self.roll_bytes):
-                if out:
-                    out.close()
-                done.append(os.path.join(self.path, f".pending-{uuid.uuid4().hex}"))
-                out, tail = open(done[-1], "wb"), 0  # noqa: SIM115
-            out.write(record)
-            tail += len(record)
+        done, out, tail = [], None, 0
+        for payloads in _groups(bytes(row["payload"]) for row in rows):
+            for id_, payload in zip(HASHES[self.hash](payloads), payloads, strict=True):
+                record = encode_record(id_, payload)
+                if out is None or (tail and tail + len(record) > self.roll_bytes):
+                    if out:
+                        out.close()
+                    done.append(os.path.join(self.path, f".pending-{uuid.uuid4().hex}"))
+                    out, tail = open(done[-1], "wb"), 0  # noqa: SIM115
+                out.write(record)
+                tail += len(record)
         if out:
             out.close()
         return _Written(done)
 
     def commit(self, messages):
-        old = sorted(n for n in os.listdir(self.path) if FILE_PATTERN.match(n))
+        os.makedirs(self.path, exist_ok=True)
+        finish_overwrite(self.path)
+        made = [p for m in messages for p in (m.paths if m else ())]
         if self.overwrite:
-            for n in old:
-                os.remove(os.path.join(self.path, n))
-            old = []
-        at = int(FILE_PATTERN.match(old[-1])[1]) + 1 if old else 0
-        for m in messages:
-            for p in m.paths if m else ():
-                os.rename(p, os.path.join(self.path, FILE_NAME.format(at)))
-                at += 1
+            for i, p in enumerate(made):
+                os.rename(p, os.path.join(self.path, f".new-{i:08d}"))
+            draft = os.path.join(self.path, f".draft-{uuid.uuid4().hex}")
+            with open(draft, "w") as f:
+                f.write(str(len(made)))
+            os.rename(draft, os.path.join(self.path, REPLACING))  # from here on the new segments count
+            finish_overwrite(self.path)
+            return
+        old = [int(m[1]) for n in os.listdir(self.path) if (m := FILE_PATTERN.match(n))]
+        for at, p in enumerate(made, max(old, default=-1) + 1):
+            os.rename(p, os.path.join(self.path, FILE_NAME.format(at)))
 
     def abort(self, messages):
         for m in messages:

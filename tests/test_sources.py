@@ -45,6 +45,41 @@ def test_scrub_sees_past_damage():
     assert [k for _, k, _ in Z.findings(data)] == ["payload_hash_mismatch", "invalid_reserved_header", "truncated_or_invalid_length", "length_overflow", "invalid_header", None, "truncated_header"]
 
 
+@pytest.mark.parametrize("batch", [1, 10_000, 1 << 22])
+def test_scrub_hashes_each_record_once(monkeypatch, batch):
+    monkeypatch.setattr(Z, "BATCH", batch)
+    raw = [bytearray(record(bytes([i]) * (5000 * (i % 3) + 9))) for i in range(12)]
+    for i in (0, 3, 4, 11):
+        raw[i][64] ^= 1
+    hashed = []
+    hashes = lambda payloads: [hashed.append(p) or digest(p) for p in payloads]
+    got = list(Z.findings(b"".join(map(bytes, raw)), hashes))
+    assert len([k for _, k, _ in got if k is None]) == 8 and len([k for _, k, _ in got if k == "payload_hash_mismatch"]) == 4
+    assert len(hashed) == 12
+
+
+def test_overwrite_replaces_segments_and_is_finished_after_a_crash(spark, tmp_path):
+    spark.dataSource.register(Z.SegmentSource)
+    schema = "block_id string, payload binary, segment int, offset bigint, payload_len bigint"
+
+    def write(payloads, mode):
+        rows = spark.createDataFrame([(None, p, None, None, None) for p in payloads], schema).coalesce(1)
+        rows.write.format("segments").option("path", str(tmp_path)).option("rollbytes", 4096).mode(mode).save()
+
+    def read():
+        return sorted(bytes(r.payload) for r in spark.read.format("segments").option("path", str(tmp_path)).load().collect())
+
+    write([b"a", b"b", b"c"], "append")
+    write([b"d", b"e"], "overwrite")
+    write([b"f"], "append")
+    assert read() == [b"d", b"e", b"f"] and not Z.segment_gaps(Z.files(spark, str(tmp_path))).count()
+    (tmp_path / ".new-00000000").write_bytes(record(b"g"))  # cut off before it was decided
+    assert read() == [b"d", b"e", b"f"]
+    (tmp_path / ".replacing").write_text("2")  # decided, the second segment in place already
+    (tmp_path / "seg-00000001.klpk").write_bytes(record(b"h"))
+    assert read() == [b"g", b"h"] and sorted(p.name for p in tmp_path.iterdir() if p.suffix != ".crc") == ["seg-00000000.klpk", "seg-00000001.klpk"]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=20000))
 def test_arbitrary_bytes_never_break_the_readers(data):
