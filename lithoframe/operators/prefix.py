@@ -45,16 +45,17 @@ def parent_index(edges: DataFrame) -> DataFrame:
 def lineage(edges: DataFrame, leaf_keys: DataFrame) -> DataFrame:
     """leaf, step, key: every key from each of leaf_keys(key) up to its root, by doubling.
 
-    Hops of 1, 2, 4 .. steps are joined once each, so a chain of n keys takes log2(n) rounds, each of them settled.
+    Hops of 1, 2, 4 .. steps are joined once each, so a chain of n keys takes log2(n) rounds, each of them settled. Links
+    may form a ring, as parents are given by callers: a walk holds each key once, at its first step, and ends there.
     """
     spark = edges.sparkSession
     settled = lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
     hop = settled(parent_index(edges).select(F.col("child_key").alias("key"), F.col("parent_key").alias("up")))
-    walked, size = settled(leaf_keys.select(F.col("key").alias("leaf"), F.lit(0).alias("step"), "key")), 1
+    walked, size = settled(leaf_keys.select(F.col("key").alias("leaf"), F.lit(0).alias("step"), "key").distinct()), 1
     while True:
         # the walk holds steps 0 .. size - 1 of every leaf; a hop goes size steps up
         further = walked.join(hop, "key").select("leaf", (F.col("step") + size).alias("step"), F.col("up").alias("key"))
-        grown = settled(walked.unionByName(further))
+        grown = settled(walked.unionByName(further).groupBy("leaf", "key").agg(F.min("step").alias("step")).select("leaf", "step", "key"))
         if grown.count() == walked.count():
             return walked
         hop = settled(hop.join(hop.select(F.col("key").alias("up"), F.col("up").alias("next")), "up").select("key", F.col("next").alias("up")))

@@ -149,6 +149,14 @@ def test_lineage_of_a_long_chain(spark):
     assert sorted((r.leaf, r.step, r.key) for r in got.collect()) == sorted([(str(n), i, str(n - i)) for i in range(n + 1)] + [("5", i, str(5 - i)) for i in range(6)] + [("alone", 0, "alone")])
 
 
+def test_lineage_ends_in_a_ring(spark):
+    ups = {"a": "b", "b": "c", "c": "d", "d": "b", "self": "self"}
+    edges = spark.createDataFrame([(up, key, 0, 0, 0) for key, up in ups.items()], "parent_key string, child_key string, first_log_index long, sub long, last_log_index long")
+    got = P.lineage(edges, spark.createDataFrame([("a",), ("a",), ("c",), ("self",)], "key string"))
+    want = [("a", i, k) for i, k in enumerate("abcd")] + [("c", i, k) for i, k in enumerate("cdb")] + [("self", 0, "self")]
+    assert sorted((r.leaf, r.step, r.key) for r in got.collect()) == sorted(want)
+
+
 def test_lease_status_precedence(spark):
     rows = [("c", "k", 5, 6, 1), ("x", None, 5, 6, 1), ("e", None, None, 6, 1), ("d", None, None, None, 20), ("p", None, None, None, 21), ("n", None, None, None, None)]
     df = spark.createDataFrame(rows, "lease string, committed_key string, cancelled_at long, expired_at long, deadline_tick long").withColumn("generation", F.lit(1)).withColumn("blocks", F.array(F.lit("b")))
