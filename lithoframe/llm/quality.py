@@ -10,8 +10,9 @@ a stratum that gets through its sequence passes its level on to the others, as H
 certified step gives the cutoffs; with probability 1 - RISK no stratum breaks its bound. A stratum with too few labels
 rejects nothing beyond the base rules.
 
-Cutoffs are fitted on a bounded sample of labelled documents, drawn by a hash of their ids: HOLDOUT_ROWS over all strata,
-the MAX_STRATA strata with most labels; documents of other strata are judged by the base rules. Every document is judged.
+Cutoffs are fitted on all labelled documents of all strata. These are counted by the cutoffs that they are over, so what a
+task plans a stratum from is bounded by the grid, not by the rows; the driver gets a stratum's sequence and how many of
+the holdout's good documents each of its steps adds. Only strata whose holdout is large enough for a test get there.
 
 Cases: a null or empty text has no words and fails the base rules; several labels of a document count once, as the
 lowest; a null label counts nowhere; a null language is a stratum; repeated rows are measured and judged each, and
@@ -35,8 +36,6 @@ MAX_REPEATED = 50  # per cent of words
 MAX_FALSE_REJECTION = 0.02  # of good documents in a stratum, by all rules together
 RISK = 0.05  # that any stratum breaks its bound
 TUNING = 5  # one labelled document in so many lays out the sequences, the others test them
-HOLDOUT_ROWS = 200_000  # labelled documents that cutoffs are fitted on, about, over all strata
-MAX_STRATA = 100
 STEPS = 24
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -99,9 +98,9 @@ def tail(n: int, share: float, k: int) -> float:
     """P(X <= k) of X ~ Binomial(n, share)."""
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(share) + (n - i) * math.log1p(-share) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+    i = np.arange(1, k + 1)
+    logs = n * math.log1p(-share) + np.concatenate([[0.0], np.cumsum(np.log((n - i + 1) / i) + (math.log(share) - math.log1p(-share)))])
+    return min(1.0, float(math.exp(logs.max()) * np.exp(logs - logs.max()).sum()))
 
 
 def upper_bound(n: int, k: int, level: float) -> float:
@@ -121,13 +120,18 @@ def rejected(steps_: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 def sequence(good: np.ndarray, n_good: np.ndarray, bad: np.ndarray, n_bad: np.ndarray) -> list[np.ndarray]:
     """Ever lower cutoffs of all rules, by labelled steps and how many documents have them; each step pays on these."""
     cuts, out = np.full(good.shape[1], STEPS), []
+
+    def over(steps_: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How many of these rows are over each cutoff of a rule."""
+        return np.bincount(steps_, n, STEPS + 1)[::-1].cumsum()[::-1][1:].astype(np.int64)
+
     while True:
-        lost, won = rejected(good, cuts), rejected(bad, cuts)
+        fine, missed = ~rejected(good, cuts), ~rejected(bad, cuts)
         best = None
         for rule in range(len(cuts)):
+            costs, gains = over(good[fine, rule], n_good[fine]), over(bad[missed, rule], n_bad[missed])
             for at in range(cuts[rule] - 1, -1, -1):
-                cost = n_good[(good[:, rule] > at) & ~lost].sum()
-                gain = n_bad[(bad[:, rule] > at) & ~won].sum()
+                cost, gain = costs[at], gains[at]
                 worth = gain * max(1, n_good.sum()) / (max(1, n_bad.sum()) * (cost + 0.5))
                 if gain and worth > 1 and (best is None or (worth, gain) > best[0]):
                     best = (worth, gain), rule, at
@@ -174,38 +178,45 @@ def certify(measures: DataFrame, labels: DataFrame, max_false_rejection: float =
 
     names = [f"s{i}" for i in range(len(grid))]
     passed = [step(*rule).alias(n) for n, rule in zip(names, rules().values(), strict=True)]
-    known = settle(measures.where(~base_failed()).join(marks, "doc_id").select("doc_id", "lang", "good", *passed).distinct())
-    strata = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_STRATA).collect()}
-    if not strata:
-        return {}
-    drawn = F.lit(False)
-    for lang, n in strata.items():
-        limit = min(1 << 30, (1 << 30) * (HOLDOUT_ROWS // len(strata)) // n)
-        drawn = drawn | (F.col("lang").eqNullSafe(lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit))
+    known = measures.where(~base_failed()).join(marks, "doc_id").select("doc_id", "lang", "good", *passed).distinct()
     tuning = F.crc32(F.col("doc_id").cast("string")) % TUNING == 0
-    counts = known.where(drawn).groupBy("lang", "good", tuning.alias("tuning"), *names).agg(F.count("*").alias("n")).collect()
-
-    def part(lang: str | None, good: bool, tunes: bool) -> tuple[np.ndarray, np.ndarray]:
-        mine = [r for r in counts if (r.lang, r.good, r.tuning) == (lang, good, tunes)]
-        return np.array([[r[n] for n in names] for r in mine], np.int64).reshape(-1, len(names)), np.array([r.n for r in mine], np.int64)
-
-    tests = {lang: (sequence(*part(lang, True, True), *part(lang, False, True)), *part(lang, True, False)) for lang in strata}
+    counts = known.groupBy("lang", "good", tuning.alias("tuning"), *names).agg(F.count("*").alias("n"))
+
+    def plan(t: pa.Table) -> pa.Table:
+        """A stratum's sequence, and the holdout's good rows by how many steps they pass, with the cutoffs that one of them is over."""
+        over, n = np.stack([t[c].to_numpy() for c in names], 1), t["n"].to_numpy()
+        good, tunes = (t[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("good", "tuning"))
+        fine, bad, held = good & tunes, ~good & tunes, good & ~tunes
+        path = sequence(over[fine], n[fine], over[bad], n[bad]) if (1 - max_false_rejection) ** int(n[held].sum()) <= risk else []
+        over, n = over[held], n[held]
+        at = np.zeros(len(n), np.int64)
+        for cuts in path:
+            at += ~rejected(over, cuts)
+        kinds, some, of = np.unique(at, return_index=True, return_inverse=True)
+        rows = [(False, i, c.tolist(), 0) for i, c in enumerate(path)]
+        if path:
+            rows += [(True, int(i), over[j].tolist(), int(m)) for i, j, m in zip(kinds, some, np.bincount(of.reshape(-1), n), strict=True)]
+        cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.bool_(), pa.int32(), pa.list_(pa.int32()), pa.int64()))]
+        return pa.table([pa.array([t["lang"][0].as_py()] * len(rows), pa.string()), *cols], ["lang", "held", "at", "steps", "n"])
+
+    planned: dict[str | None, tuple[list, list]] = {}
+    for r in sorted(counts.groupBy("lang").applyInArrow(plan, "lang string, held boolean, at int, steps array<int>, n bigint").collect(), key=lambda r: r.at):
+        planned.setdefault(r.lang, ([], []))[r.held].append(r)
+    tests = {lang: ([np.array(r.steps) for r in path], np.array([r.steps for r in held]), np.array([r.n for r in held])) for lang, (path, held) in planned.items()}
     found = certified(tests, max_false_rejection, risk)
     return {lang: ({name: cuts[at] for (name, cuts), at in zip(grid.items(), chosen, strict=True) if at < STEPS}, bound) for lang, (chosen, bound) in found.items()}
 
 
 def judge(measures: DataFrame, cutoffs: dict[str | None, tuple[dict[str, float], float]]) -> DataFrame:
     """measures with base_failed, rejected_by (names of rules), kept, and the stratum's cutoffs and bound, null without any."""
-    of_stratum = lambda values, kind: F.coalesce(*[F.when(F.col("lang").eqNullSafe(lang), F.lit(v)) for lang, v in values], F.lit(None).cast(kind))
-    reject = []
-    for name, (score, _) in rules().items():
-        mine = [(lang, own[name]) for lang, (own, _) in cutoffs.items() if name in own]
-        if mine:
-            reject.append(F.when(F.coalesce(score > of_stratum(mine, "double"), F.lit(False)), F.lit(name)))
-    by = F.array_compact(F.array(*reject)) if reject else F.array().cast("array<string>")
-    used = of_stratum([(lang, ",".join(f"{k}>{v:.6g}" for k, v in own.items())) for lang, (own, _) in cutoffs.items()], "string")
-    bound = of_stratum([(lang, b) for lang, (_, b) in cutoffs.items()], "double")
-    return measures.withColumns({"base_failed": base_failed(), "rejected_by": by, "cutoffs": used, "false_rejection_bound": bound}).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+    names = list(rules())
+    kinds = ["__of string", *(f"__{name} double" for name in names), "cutoffs string", "false_rejection_bound double"]
+    rows = [(lang, *map(own.get, names), ",".join(f"{k}>{v:.6g}" for k, v in own.items()), bound) for lang, (own, bound) in cutoffs.items()]
+    strata = F.broadcast(measures.sparkSession.createDataFrame(rows, ", ".join(kinds)))  # those with a certified step
+    both = measures.join(strata, F.col("lang").eqNullSafe(F.col("__of")), "left")
+    by = F.array_compact(F.array(*[F.when(score > F.col(f"__{name}"), F.lit(name)) for name, (score, _) in rules().items()]))
+    judged = both.withColumns({"base_failed": base_failed(), "rejected_by": by})
+    return judged.select(*measures.columns, "base_failed", "rejected_by", "cutoffs", "false_rejection_bound", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -419,6 +419,27 @@ def test_quality(spark):
     assert quality.certify(m.limit(0), labels) == {}
 
 
+def test_quality_is_certified_on_all_labels_of_all_strata(spark):
+    """One stratum of 240,000 labels beside 104 of 600; every tenth document is bad."""
+    i = F.col("id")
+    lang = F.when(i < 240_000, "big").when(i < 240_600, F.lit(None)).otherwise(F.concat(F.lit("s"), ((i - 240_000) / 600).cast("int")))
+    fixed = {"n_words": 100, "word_chars": 600, "n_dup_lines": 0, "n_repeat_words": 0, "n_lines": 1}
+    m = spark.range(240_000 + 104 * 600).select(i.alias("doc_id"), lang.alias("lang"), F.when(i % 10 == 0, 200).otherwise(0).alias("n_symbols"), *[F.lit(v).alias(k) for k, v in fixed.items()])
+    found = quality.certify(m, m.select("doc_id", (F.col("n_symbols") == 0).cast("int").alias("quality")))
+    over = lambda n: [sum(s > c for c in cuts) for s, (_, cuts) in zip((6, 1 / 6, n / 100, 0, 0), quality.rules().values(), strict=True)]
+    good, bad = np.array([over(0)]), np.array([over(200)])
+    n, tests = {}, {}
+    for r in m.groupBy("lang", F.col("n_symbols") == 0, F.crc32(F.col("doc_id").cast("string")) % quality.TUNING == 0).count().collect():
+        n[tuple(r)[:3]] = r[3]
+    for s in {k[0] for k in n}:
+        count = lambda *k, s=s: np.array([n[s, *k]])
+        tests[s] = quality.sequence(good, count(True, True), bad, count(False, True)), good, count(True, False)
+    want = quality.certified(tests)
+    assert len(found) == len(want) == 105 and found["big"][1] == want["big"][1] and found[None][1] == want[None][1]
+    assert all("symbols" in cuts for cuts, _ in found.values())
+    assert quality.judge(m, found).where("kept").count() == 0.9 * (240_000 + 104 * 600)
+
+
 def plainly_measured(text):
     found = [w for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
     windows = [tuple(found[i : i + 3]) for i in range(len(found) - 2)]
