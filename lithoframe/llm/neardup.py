@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_keys, met, settle, table
+from .common import freed, hot_keys, met, settle, table
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -61,6 +61,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of a text, as 64-bit hashes in order, and how often each occurs."""
     raw = (text or "").lower().encode()
@@ -117,7 +121,7 @@ def document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
         return pa.table({"slice": first.column("slice"), "part": pa.array([first.column("part")[0].as_py() // SUMMED], pa.int32()), "n": pa.array([sum(rows.column("n").to_pylist())], pa.int64()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     kind = "slice int, part int, n bigint, counts binary"
-    sums, left = docs.select("text").mapInArrow(count, kind), max(2, docs.rdd.getNumPartitions())
+    sums, left = docs.select("text").mapInArrow(freed(count, forget), kind), max(2, docs.rdd.getNumPartitions())
     while left > 1:
         sums, left = sums.groupBy("slice", "part").applyInArrow(add, kind), -(-left // SUMMED)
     out, sums = np.zeros(COUNTERS, np.int64), sums.collect()
@@ -189,7 +193,7 @@ def sketches(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("h").take(at), pa.array(samples, pa.binary()), pa.array(mass, pa.float64()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(bands[:, j]).view(np.int64)) for j in range(BANDS))], names=["doc_id", "h", "samples", "mass", "size", *(f"b{j}" for j in range(BANDS))])
 
     kind = "doc_id bigint, h binary, samples binary, mass double, size bigint, " + ", ".join(f"b{j} bigint" for j in range(BANDS))
-    return docs.mapInArrow(run, kind)
+    return docs.mapInArrow(freed(run, forget), kind)
 
 
 def similarity(a: tuple, b: tuple, weights: np.ndarray) -> float:
@@ -224,7 +228,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, least: float, hot: lis
 
     own = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = met(own, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b", hot, ["a"]).select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+    return both.mapInArrow(freed(run, forget), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

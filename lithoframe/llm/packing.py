@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import freed, settle, table
 
 CAPACITY = 2048
 END_ID = 0
@@ -48,6 +48,11 @@ def encoder(path: str):
     return _encoders[path]
 
 
+def forget() -> None:
+    for e in _encoders.values():
+        e.memo.clear()
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, chars: int) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about so many bytes of text, a row at least."""
     for b in batches:
@@ -78,7 +83,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
                     seen[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "at"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(freed(run, forget), PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -178,7 +183,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sequence), pa.array(table_["offset"][at])], names=[*names, "sequence_id", "offset"])
 
     ranked = made.join(firsts, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("at")).alias("rank"))
-    return ranked.mapInArrow(run, PACKED)
+    return ranked.mapInArrow(freed(run), PACKED)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_keys, met, recounted, settle, table
+from .common import freed, hot_keys, met, recounted, settle, table
 
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 16, 4, 120  # bytes; cuts are 2^MASK_BITS bytes apart beyond the least size
 MIN_WORDS = 25
@@ -79,7 +79,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                     ids.extend([doc] * (len(digests) - len(ids)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(places, pa.int64())], names=["doc_id", "digest", "place"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, CHUNKS)
+    return docs.select("doc_id", "text").mapInArrow(freed(run), CHUNKS)
 
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -122,7 +122,7 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "version", "n_chunks", "repeated_words", "removed_words", "removed", "kept_in"])
 
-    return by_doc.mapInArrow(run, FOUND)
+    return by_doc.mapInArrow(freed(run), FOUND)
 
 
 def without(raw: bytes, spans: list[dict]) -> bytes:
@@ -157,7 +157,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])]
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
-    return recounted(both.mapInArrow(run, docs.schema))
+    return recounted(both.mapInArrow(freed(run), docs.schema))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -48,6 +49,18 @@ def test_stages_keep_columns_on_hard_and_empty_tables(spark, stage):
     assert stage(spark, hard.limit(0), "").count() == 0
 
 
+def test_workers_keep_no_memo_after_a_task(spark):
+    def memory(_):
+        from lithoframe.llm import neardup, packing
+
+        yield pa.RecordBatch.from_arrays([pa.array([len(neardup._words) + sum(len(e.memo) for e in packing._encoders.values())], pa.int64())], names=["held"])
+
+    some = docs(spark, [(i, words(60, seed=i), "aa") for i in range(40)])
+    for out in (neardup.stage(spark, some, ""), packing.stage(spark, some, "")):
+        assert out.count() > 0
+        assert {r.held for r in spark.range(0, 8, 1, 8).mapInArrow(memory, "held bigint").collect()} == {0}
+
+
 def test_language(spark):
     train = [(i, words(50, lang, seed=i), lang) for i in range(200) for lang in [("aa", "bb")[i % 2]]]
     found = langid.predict(docs(spark, train + [(999, None, "aa"), (1000, "123 !", "aa"), (1001, None, None)]), langid.fit(docs(spark, train))).collect()
